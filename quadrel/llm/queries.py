@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, counts, packing
+from . import bpe, classifier, counts, packing, quality_rules
 from .common import materialise, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trusted(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1").select("doc_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, trusted(table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -48,5 +58,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op8_token_counts, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op8_token_counts, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
