@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, counts, near_dup, packing, quality_rules
+from . import bpe, classifier, counts, near_dup, packing, pii, quality_rules
 from .common import materialise, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def number(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    return found.select("doc_id", *map(number, range(len(pii.KINDS))), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_sections(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN)
 
@@ -63,5 +72,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op6_pii, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
