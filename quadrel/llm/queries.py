@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, counts, near_dup, packing, pii, quality_rules
+from . import bpe, classifier, counts, html_text, near_dup, packing, pii, quality_rules
 from .common import materialise, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html_text.extract(table(spark, sf_dir, "pages"))
+    return made.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
 
@@ -72,5 +77,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op6_pii, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op5_html_text, op6_pii, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}

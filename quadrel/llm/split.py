@@ -7,6 +7,7 @@ texts that hold one of them are split by a pattern corrected for them.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -26,6 +27,17 @@ def disputed() -> tuple[list[str], list[str]]:
     return found[0], found[1]
 
 
+def narrowed(pattern: str) -> str:
+    """The pattern for texts of the first 256 code points alone, its classes spelt out for re."""
+    points = [chr(i) for i in range(256)]
+    named = {k: "".join(re.escape(c) for c in points if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    inner = "".join(named[k] for k in (r"\s", r"\p{L}", r"\p{N}"))
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{inner}]").replace(r"\S", f"[^{named[r'\s']}]")
+    for k, held in named.items():
+        pattern = pattern.replace(k, f"[{held}]")
+    return pattern
+
+
 class Splitter:
     """pieces(text) -> matches of pattern as a library with the given splitting finds them.
 
@@ -46,6 +58,7 @@ class Splitter:
         for kind in "LN":
             exact = exact.replace(rf" ?\p{{{kind}}}+", f" ?{sets[kind]}+")
         self.plain = regex.compile(pattern).findall
+        self.narrow = re.compile(narrowed(pattern)).findall
         self.exact = regex.compile(exact, regex.V1).findall
         self.odd = regex.compile(f"[{''.join(letters + numbers)}]").search
 
@@ -53,6 +66,5 @@ class Splitter:
         try:
             text.encode("latin-1")  # holds no disputed code point, and is told fast
         except UnicodeEncodeError:
-            if self.odd(text):
-                return self.exact(text)
-        return self.plain(text)
+            return self.exact(text) if self.odd(text) else self.plain(text)
+        return self.narrow(text)

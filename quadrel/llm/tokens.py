@@ -10,7 +10,7 @@ import numpy as np
 from .split import Splitter
 
 #: Pieces up to this many characters are kept; so many of them at most.
-CACHED_CHARS, CACHED_PIECES = 32, 300_000
+CACHED_CHARS, CACHED_PIECES = 32, 600_000
 
 
 class PieceTokens(dict):
@@ -24,6 +24,12 @@ class PieceTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spans = spans
+        self.model = self.tokenizer.model
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError(f"{path} is no byte-level tokenizer without a normalizer")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level tokenizers show these as themselves
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
     def whole(self, texts: list[str]) -> set[str]:
         """The texts that the tokenizer's own splitting takes as one piece each."""
@@ -31,15 +37,27 @@ class PieceTokens(dict):
         return {text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)} & set(texts)
 
     def __missing__(self, piece: str):
-        made = self.tokenizer.encode(piece, add_special_tokens=False)
-        packed = np.array(made.ids, np.uint32).tobytes()
-        entry = (packed, np.array(made.offsets, np.int32).tobytes()) if self.spans else packed
+        """The model merges the piece's bytes; splitting is done, and nothing else is left to do."""
+        made = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+        packed = np.array([t.id for t in made], np.uint32).tobytes()
+        entry = packed
+        if self.spans:
+            entry = (packed, self._spans(piece, [len(t.value) for t in made]).tobytes())
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
                 self.clear()
             self[piece] = entry
         return entry
 
+    def _spans(self, piece: str, sizes: list[int]) -> np.ndarray:
+        """Characters [start, end) that hold the bytes of tokens of these many bytes."""
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if not piece.isascii():
+            char = np.cumsum((np.frombuffer(piece.encode(), np.uint8) & 0xC0) != 0x80) - 1
+            starts, ends = char[starts], char[ends - 1] + 1
+        return np.stack([starts, ends], 1).astype(np.int32)
+
 
 class PieceTokenizer:
     """Ids, and spans if asked for, of whole texts."""
