@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, counts, html_text, near_dup, packing, pii, quality_rules
+from . import bpe, classifier, counts, html_text, near_dup, packing, pii, quality_rules, topk
 from .common import materialise, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,28 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = html_text.extract(table(spark, sf_dir, "pages"))
     return made.withColumn("n_chars", F.length("text").cast("long"))
@@ -77,5 +99,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op5_html_text, op6_pii, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_topk, op5_html_text, op6_pii, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
+ORACLES = {"op4_topk": OP4_SQL}
