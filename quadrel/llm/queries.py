@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, counts, html_text, near_dup, packing, pii, quality_rules, topk
+from . import bpe, classifier, counts, html_text, lm_score, near_dup, packing, pii, quality_rules, topk
 from .common import materialise, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,6 +79,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, range(len(pii.KINDS))), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_sections(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN)
 
@@ -99,5 +104,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_topk, op5_html_text, op6_pii, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_topk, op5_html_text, op6_pii, op7_lm_score, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
 ORACLES = {"op4_topk": OP4_SQL}
