@@ -278,6 +278,10 @@ def _unsettled(members: DataFrame, roots: DataFrame, classes: DataFrame, s: Sett
 
 
 def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that have a smaller id in their component; null ids stay."""
+    """docs without the documents that have a smaller id in their component, and with one of several
+    rows that agree in all columns; null ids stay."""
     gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    again = found.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNotNull() & (F.col("n") > 1)).select(id_col)
+    left = docs.join(broadcast_if_small(gone, 16), id_col, "left_anti")
+    again = broadcast_if_small(again, 16)
+    return left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").distinct())

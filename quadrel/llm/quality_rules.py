@@ -124,4 +124,7 @@ def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col:
     """All columns of docs with the base counts, base_failed, llr and kept."""
     weights = fit(docs, trusted, s, id_col, text_col)
     judged = ratio(base_counts(docs.withColumn("_t", text_of(text_col))), weights, s)
-    return judged.drop("_t").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold))
+    # always true, but not foldable: keeps a filter on kept above these columns, which it would else
+    # be merged with, so that each is computed again wherever another refers to it
+    here = F.monotonically_increasing_id() >= 0
+    return judged.drop("_t").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold) & here)
