@@ -45,20 +45,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def following(array: str, k: int) -> Column:
+    """The array without its first k elements."""
+    return F.slice(array, F.lit(k + 1), F.greatest(F.size(array) - k, F.lit(0)))
+
+
+def mixed(a: Column, b: Column, k: int) -> Column:
+    """One 64-bit number of two, that of the second being k places on."""
+    return a.bitwiseXOR(F.shiftleft(b, k))
+
+
 def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
     """rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; t: no nulls.
 
-    Windows that occur twice are looked for by hash; only texts that may have one sort the windows
-    themselves, so the count is exact.
+    A window is known by 64 bits mixed from its words' hashes: twos, then fours, then fives. Only
+    texts in which such a number occurs twice sort them to find where.
     """
-    word = lambda at: F.get("_words", at)
-    windows = F.when(
-        F.size("_words") > 5,
-        F.transform(F.sequence(F.lit(0), F.size("_words") - 5), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2), word(i + 3), word(i + 4))),
-    )
+    paired = lambda array, other, k: F.zip_with(array, following(other, k), lambda a, b: mixed(a, b, k))
+    windows = F.when(F.size("_words") > 5, F.slice(paired("_fours", "_hashes", 4), F.lit(1), F.size("_words") - 4))
     keyed = F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 5), lambda i: F.struct(F.array_join(F.slice("_words", i + 1, 5), " ").alias("k"), i.alias("p")))),
+        F.sort_array(F.arrays_zip(F.col("_windows").alias("k"), F.sequence(F.lit(0), F.size("_windows") - 1).alias("p"))),
     )
     same = lambda x, j: F.coalesce(F.get("_keyed", j)["k"] == x["k"], F.lit(False))
     twice = F.sort_array(F.transform(F.filter("_keyed", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"]))
@@ -69,6 +76,9 @@ def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
     return (
         rows.withColumn("_words", words_of(F.col(t)))
         .withColumn("_lines", lines)
+        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        .withColumn("_twos", paired("_hashes", "_hashes", 1))
+        .withColumn("_fours", paired("_twos", "_twos", 2))
         .withColumn("_windows", windows)
         .withColumn("_keyed", keyed)
         .withColumn("_twice", twice)
@@ -81,28 +91,26 @@ def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
                 "n_repeat_words": long(F.coalesce(covered, F.lit(0))),
             }
         )
-        .drop("_words", "_lines", "_windows", "_keyed", "_twice")
+        .drop("_words", "_lines", "_hashes", "_twos", "_fours", "_windows", "_keyed", "_twice")
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     )
 
 
-def with_features(rows: DataFrame, s: Settings, t: str = "_t") -> DataFrame:
-    """rows with _features: the bucket of each token and of each pair of neighbours."""
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(s.buckets)).cast("int")
-    pairs = F.zip_with("_tokens", F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), bucket(a, b)))
-    return (
-        rows.withColumn("_tokens", F.regexp_extract_all(F.col(t), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0)))
-        .withColumn("_features", F.concat(F.transform("_tokens", lambda w: bucket(w)), F.array_compact(pairs)))
-        .drop("_tokens")
-    )
+def tokens_of(t: str) -> Column:
+    return F.regexp_extract_all(F.col(t), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(trusted / all) of each bucket in units of 1 / SCALE; trusted: a table of ids."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(broadcast_if_small(ids, 16), "_id", "left")
-    seen = with_features(rows, s).select(F.explode("_features").alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("own"))
-    counted = seen.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("own")).collect()  # at most `buckets` rows
+    lists = rows.select(tokens_of("_t").alias("_tokens"), F.coalesce("_trusted", F.lit(0)).alias("own"))
+    # a row for each token and its neighbour: hashed in generated code, unlike an array's elements
+    seen = lists.select("own", F.inline(F.arrays_zip(F.col("_tokens").alias("a"), following("_tokens", 1).alias("b"))))
+    both = F.array(F.xxhash64("a"), F.when(F.col("b").isNotNull(), mixed(F.xxhash64("a"), F.xxhash64("b"), 1)))
+    seen = seen.select("own", F.explode(both).alias("x")).where("x is not null")
+    bucket = F.pmod("x", F.lit(s.buckets)).alias("bucket")
+    counted = seen.groupBy(bucket).agg(F.count("*").alias("n"), F.sum("own").alias("own")).collect()  # at most `buckets` rows
     raw, own = np.zeros(s.buckets), np.zeros(s.buckets)
     for r in counted:
         raw[r["bucket"]], own[r["bucket"]] = r["n"], r["own"]
@@ -115,9 +123,15 @@ def fit(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: s
 def ratio(rows: DataFrame, weights: np.ndarray, s: Settings, t: str = "_t") -> DataFrame:
     """rows with llr double: the mean weight of the features, 0 without any."""
     held = F.lit(weights)
-    total = F.aggregate("_features", F.lit(0).cast("long"), lambda a, b: a + F.get(held, b))
-    found = with_features(rows, s, t).withColumn("_sum", total).withColumn("_n", F.size("_features"))
-    return found.withColumn("llr", F.when(F.col("_n") > 0, F.col("_sum") / (F.col("_n") * F.lit(float(SCALE)))).otherwise(0.0)).drop("_features", "_sum", "_n")
+    pairs = F.zip_with(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 1, F.lit(0))), following("_h", 1), lambda a, b: mixed(a, b, 1))
+    total = F.aggregate("_features", F.lit(0).cast("long"), lambda a, x: a + F.get(held, F.pmod(x, F.lit(s.buckets)).cast("int")))
+    found = (
+        rows.withColumn("_h", F.transform(tokens_of(t), lambda w: F.xxhash64(w)))
+        .withColumn("_features", F.concat("_h", pairs))
+        .withColumn("_sum", total)
+        .withColumn("_n", F.size("_features"))
+    )
+    return found.withColumn("llr", F.when(F.col("_n") > 0, F.col("_sum") / (F.col("_n") * F.lit(float(SCALE)))).otherwise(0.0)).drop("_h", "_features", "_sum", "_n")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
