@@ -2,20 +2,21 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, by pattern and check.
 Every base match is a protected entity. The terms (runs of letters and digits) within `reach`
-characters of an entity are counted with it over all distinct texts: a term discloses an entity if
+characters of an entity are counted with it over all documents: a term discloses an entity if
 their pointwise mutual information, log(N * joint / (df_term * df_entity)), is at least `alpha` of
 the entity's own information, log(N / df_entity). Its occurrences near that entity become spans of
-kind "term", if at least `support` different texts have them together; copies of one text count once.
+kind "term", if at least `support` different texts have them together, so that mere copies of one
+text disclose nothing.
 A text is sanitised by generalising base spans to their kind and removing disclosing terms.
 
 Everything is DataFrame functions. Entities are few against words, so term counts are joined with
-the words of all texts by broadcast below a counted size and by shuffle beyond it, and only words
-that are candidates leave their document. The patterns are possessive where the plain form gives the
+the words of all texts by broadcast below a counted size and by shuffle beyond it, and words are
+counted before they are shuffled. The patterns are possessive where the plain form gives the
 same matches, so they are linear on long runs and don't recurse.
 
 Edge cases: a null text counts as empty and has no spans; overlapping spans of different kinds are all
-reported, and generalised once, as the first; repeated rows get the same spans each and count as one
-text; an empty table gives an empty result; columns other than those named are ignored, or kept by
+reported, and generalised once, as the first; repeated rows get the same spans each and are counted
+each; an empty table gives an empty result; columns other than those named are ignored, or kept by
 sanitise.
 """
 
@@ -102,11 +103,11 @@ def base_spans(docs: DataFrame, t: str = "_t") -> DataFrame:
 
 
 def contexts(found: DataFrame, s: Settings) -> DataFrame:
-    """id, text_hash, entity, term, start, end: each term near a base span of its document."""
-    one = found.where(F.size("base") > 0).select("id", "text_hash", "base", "_t", F.explode("base").alias("e"))
+    """row, id, text_hash, entity, term, start, end: each term near a base span of its document."""
+    one = found.where(F.size("base") > 0).select("row", "id", "text_hash", "base", "_t", F.explode("base").alias("e"))
     left = F.greatest(F.col("e.start") - s.reach, F.lit(0))
     one = one.select(
-        "id", "text_hash", "base",
+        "row", "id", "text_hash", "base",
         F.concat_ws(":", F.col("e.kind").cast("string"), F.when(F.col("e.kind") == 0, F.lower("e.value")).otherwise(digits(F.col("e.value")))).alias("entity"),
         F.explode(F.array(
             F.struct(left.alias("at"), F.substring("_t", left + 1, F.col("e.start") - left).alias("part"), (left > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
@@ -114,22 +115,21 @@ def contexts(found: DataFrame, s: Settings) -> DataFrame:
         )).alias("c"),
     )
     placed = one.withColumn("terms", occurrences(F.col("c.part"), TERM, F.lit(True), F.col("c.at")))
-    rows = placed.select("id", "text_hash", "entity", "base", "c", F.explode("terms").alias("x"))
+    rows = placed.select("row", "id", "text_hash", "entity", "base", "c", F.explode("terms").alias("x"))
     whole = ~(F.col("c.cut_left") & (F.col("x.start") == F.col("c.at"))) & ~(F.col("c.cut_right") & (F.col("x.end") == F.col("c.at") + F.length("c.part")))
     apart = ~F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start")))
-    return rows.where(whole & apart).select("id", "text_hash", "entity", F.lower("x.value").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return rows.where(whole & apart).select("row", "id", "text_hash", "entity", F.lower("x.value").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 def disclosing(near: DataFrame, docs: DataFrame, s: Settings, t: str = "_t") -> DataFrame:
-    """term, entity: the pairs over the threshold. docs: text_hash and t of all documents."""
-    joint = near.select("term", "entity", "text_hash").distinct().groupBy("term", "entity").agg(F.count("*").alias("joint")).where(F.col("joint") >= s.support)
-    joint = materialise(joint, "joint")
-    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    """term, entity: the pairs over the threshold. docs: t of all documents."""
+    joint = near.groupBy("term", "entity", "text_hash").agg(F.countDistinct("row").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("joint"), F.count("*").alias("texts"))
+    joint = materialise(joint.where(F.col("texts") >= s.support), "joint")
+    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     wanted = broadcast_if_small(joint.select("term").distinct(), 64)
-    words = docs.select("text_hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
-    total = docs.agg(F.countDistinct("text_hash").alias("n")).first()["n"]
-    known = F.log(F.lit(float(max(total, 1)))) - F.log("df_entity")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))).alias("term"))
+    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
+    known = F.log(F.lit(float(max(docs.count(), 1)))) - F.log("df_entity")
     shared = known + F.log("joint") - F.log("df_term")
     return joint.join(terms, "term").join(entities, "entity").where(shared >= s.alpha * known).select("term", "entity")
 
@@ -142,9 +142,10 @@ def find(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("_t"))
     found = base_spans(plain)
-    holding = materialise(found.withColumn("_t", F.when(F.size("base") > 0, F.col("_t")).otherwise("")), "spans")
+    found = found.withColumn("_t", F.when(F.size("base") > 0, F.col("_t")).otherwise("")).withColumn("row", F.monotonically_increasing_id())
+    holding = materialise(found, "spans")  # from here on row is fixed
     near = materialise(contexts(holding, s), "contexts")
-    pairs = disclosing(near, plain.select("text_hash", "_t"), s)
+    pairs = disclosing(near, plain.select("_t"), s)
     extra = (
         near.join(pairs, ["term", "entity"])
         .select("id", "text_hash", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("x"))
