@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -55,6 +56,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 2
     return F.broadcast(df) if n <= most else df
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch for what is run inside, as whole texts are sent by pairs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batch, *columns: str):
     """Lists of the named columns' Python values, SLICE_ROWS at a time."""
     picked = [batch.column(batch.schema.get_field_index(c)) for c in columns]

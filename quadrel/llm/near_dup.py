@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import id_field
-from .common import broadcast_if_small, materialise, slices
+from .common import broadcast_if_small, materialise, short_batches, slices
 from .components import components
 
-CACHED_CHARS, CACHED_WORDS = 40, 400_000
+CACHED_CHARS, CACHED_WORDS = 32, 150_000
 M1, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -225,7 +225,8 @@ def _chunk_key(sig: bytes, c: int, d: int, s: Settings) -> bytes:
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_shingles long, component_id (the smallest id reachable)."""
     kind = id_field(docs, id_col)
-    rows = materialise(signed(docs, s, id_col, text_col), "signatures")
+    with short_batches(docs.sparkSession):
+        rows = materialise(signed(docs, s, id_col, text_col), "signatures")
     alive = rows.where("id is not null and set_hash is not null")
     classes = alive.groupBy("set_hash").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
     keyed = _slotted(classes, s)
@@ -236,15 +237,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     hubs = ranked.groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("m"), F.col("rep").alias("hub"))).alias("h")).select("key", F.col("h.hub").alias("hub"))
     members = materialise(members.join(hubs, "key"), "members")
     stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(linked(materialise(stars, "pairs"), docs, s, id_col, text_col), "links")
+    with short_batches(docs.sparkSession):
+        links = materialise(linked(materialise(stars, "pairs"), docs, s, id_col, text_col), "links")
     same = alive.groupBy("id").agg(F.countDistinct("set_hash").alias("n")).where("n > 1")  # ids of several sets
     own = alive.join(same.select("id"), "id", "left_semi").join(classes.select("set_hash", "rep"), "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(own)
     roots = components(links)
     left = _unsettled(members, roots, classes, s)
-    more = materialise(plausible(left, s, kind).distinct(), "pairs")
-    links = links.unionByName(linked(more, docs, s, id_col, text_col))
-    roots = components(links)
+    with short_batches(docs.sparkSession):
+        more = materialise(plausible(left, s, kind).distinct(), "pairs")
+        more = materialise(linked(more, docs, s, id_col, text_col), "links")
+    roots = components(links.unionByName(more))
     return (
         rows.join(classes.select("set_hash", "rep"), "set_hash", "left")
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
