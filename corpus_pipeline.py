@@ -16,8 +16,7 @@ from quadrel.llm.queries import PATTERN, TOKENIZER, digest, held_out, trusted
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    judged = quality_rules.judge(docs, trusted(table(spark, sf_dir, "labels")))
-    return judged.where("kept").select(*docs.columns)
+    return quality_rules.passing(docs, trusted(table(spark, sf_dir, "labels")))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     It learns from the labelled rows of documents itself: the stage before leaves few bad ones.
     """
     model = classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
-    return classifier.score(docs, model, keep=True).where("score >= 0.5").select(*docs.columns)
+    return classifier.passing(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,24 +146,31 @@ def probability(text: str | None, known: WordParts, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id_col, score double; with keep all columns of docs and score."""
+def passing(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5, s: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least `least`, with docs' columns."""
     parts, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast(parts)  # buckets x 4 bytes, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
         known = WordParts(sent.value, s)
         for batch in batches:
-            made = [probability(t, known, bias) for (texts,) in slices(batch, text_col if keep else "t") for t in texts]
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, "score"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], [id_col, "score"])
+            made = [probability(t, known, bias) >= least for (texts,) in slices(batch, text_col) for t in texts]
+            yield batch.filter(pa.array(made, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    if keep:
-        from pyspark.sql.types import DoubleType, StructField, StructType
+def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, score double."""
+    parts, bias = model
+    sent = docs.sparkSession.sparkContext.broadcast(parts)  # buckets x 4 bytes, whatever the input
+
+    def run(batches):
+        known = WordParts(sent.value, s)
+        for batch in batches:
+            made = [probability(t, known, bias) for (texts,) in slices(batch, "t") for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], [id_col, "score"])
 
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
     return docs.selectExpr(f"`{id_col}` as k", f"`{text_col}` as t").mapInArrow(run, f"`{id_col}` {id_field(docs, id_col)}, score double")
 
 

@@ -168,10 +168,10 @@ def listed(spans: str | Column) -> Column:
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten: base spans become <kind>, disclosing terms go."""
-    marked = found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
+    marked = found.where(F.size("spans") > 0).select(F.col(id_col).alias("__pii_id"), F.col("text_hash").alias("__pii_hash"), F.col("spans").alias("__pii_spans")).distinct()
     marked = broadcast_if_small(marked, 256)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_own", F.xxhash64(text)).join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    rows = docs.withColumn("__pii_own", F.xxhash64(text)).join(marked, F.col(id_col).eqNullSafe(F.col("__pii_id")) & (F.col("__pii_own") == F.col("__pii_hash")), "left")
     tags = F.array(*[F.lit(t) for t in (*(f"<{k}>" for k in KINDS), "")])
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -181,5 +181,5 @@ def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(passed, acc["out"]).otherwise(F.concat(acc["out"], kept, F.get(tags, x["kind"]))).alias("out"))
 
     tail = lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col)))
-    changed = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", none, step, tail)).otherwise(F.col(text_col))
+    changed = F.when(F.col("__pii_spans").isNotNull(), F.aggregate("__pii_spans", none, step, tail)).otherwise(F.col(text_col))
     return rows.withColumn(text_col, changed).select(*docs.columns)

@@ -134,11 +134,26 @@ def ratio(rows: DataFrame, weights: np.ndarray, s: Settings, t: str = "_t") -> D
     return found.withColumn("llr", F.when(F.col("_n") > 0, F.col("_sum") / (F.col("_n") * F.lit(float(SCALE)))).otherwise(0.0)).drop("_h", "_features", "_sum", "_n")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with the base counts, base_failed, llr and kept."""
+def judged(docs: DataFrame, trusted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """_row (all of docs' columns), the base counts, base_failed, llr and kept."""
     weights = fit(docs, trusted, s, id_col, text_col)
-    judged = ratio(base_counts(docs.withColumn("_t", text_of(text_col))), weights, s)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of(text_col).alias("_t"))
     # always true, but not foldable: keeps a filter on kept above these columns, which it would else
     # be merged with, so that each is computed again wherever another refers to it
     here = F.monotonically_increasing_id() >= 0
-    return judged.drop("_t").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold) & here)
+    counted = ratio(base_counts(rows), weights, s).drop("_t")
+    return counted.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold) & here)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
+def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with COUNTS, which replace columns of those names."""
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in COUNTS]
+    return judged(docs, trusted, s, id_col, text_col).select(*own, *COUNTS)
+
+
+def passing(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with docs' columns as they were."""
+    return judged(docs, trusted, s, id_col, text_col).where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
