@@ -10,11 +10,9 @@ shares no key with a probability of 3e-6.
 Equal shingle sets are one class first, so exact copies never meet. Classes that share a key aren't
 paired with each other: every key has a hub, the class that shares keys with most others, and
 members are checked against their hubs on full sets. Those links give components. Only members of a
-key that are in another component than its hub are then compared with the key's other members, by
-signature distance, each pair at its first common key; the pairs that may be links are checked on
-full sets too. So no group is expanded into all its pairs, and a link between different texts is
-lost only where no key is shared or the distance is over `slack` standard deviations beyond that of
-a similarity at the threshold.
+key that are in another component than its hub are then compared, on full sets too, with the other
+classes of that component's keys, a sorted block of them at once. So no group is expanded into all
+its pairs, and a link between different texts is lost only where the two share no key.
 
 Edge cases: words are split at ASCII white space and only A-Z are lower-cased; a text of one word is
 one shingle; null, empty and blank texts have none and link with nothing; rows of one id count as
@@ -47,8 +45,7 @@ class Settings:
     percent: int = 80
     chunks: int = 12
     width: int = 6
-    slack: float = 4.0
-    block: int = 20_000
+    block: int = 2_000_000
     seed: int = 11
 
     @property
@@ -148,73 +145,62 @@ def linked(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def plausible(members: DataFrame, s: Settings, kind: str) -> DataFrame:
-    """Pairs (a, b) of a key's members that are in different components and may be links.
+def settled(dealt: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) of loose classes to others of their group, one for each component that they touch.
 
-    members: key, share, rep, root, loose, hub, sig; loose rows are in each share of their key, the
-    others in one. A pair is given at the first key that both members have.
+    dealt: family, share, probe, rep, root, loose. A share's block is held as one sorted array of its
+    sets; probes come after it, one by one, and their common shingles with all of the block are
+    counted at once. Pairs of a component are passed over, and two loose ones meet once.
     """
-    share = s.percent / 100
-    most = s.places * (1 - share) + s.slack * (s.places * share * (1 - share)) ** 0.5
-
-    def pairs(rows):
-        key, reps, roots, loose, homes, hubs, sigs = rows
-        mine = np.flatnonzero(loose)
-        sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), s.places)
-        code, index = {}, {}
-        rank = np.array([code.setdefault(r, len(code)) for r in roots])
-        who = np.array([index.setdefault(r, len(index)) for r in reps])
-        homes = np.array(homes)
-        for i in mine:
-            differ = sig != sig[i]
-            far = differ.sum(1)
-            other = (far <= most) & (rank != rank[i]) & (who != who[i]) & homes
-            if hubs[i] is not None:
-                other &= np.array([r != hubs[i] for r in reps])
-            for j in np.flatnonzero(other):
-                if loose[j] and not reps[i] < reps[j]:
-                    continue
-                by_chunk = differ[j].reshape(s.chunks, s.width)
-                wrong = by_chunk.sum(1)
-                c = int(np.argmax(wrong <= 1))
-                d = int(np.argmax(by_chunk[c])) if wrong[c] == 1 else 0
-                own = sig[i].tobytes()
-                if key == (c, d, _chunk_key(own, c, d, s)):
-                    yield reps[i], reps[j]
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t"))
+    texts = texts.join(broadcast_if_small(dealt.select("rep").distinct(), 16), "rep", "left_semi")
+    rows = dealt.join(texts, "rep").repartition("family", "share").sortWithinPartitions("family", "share", "probe", "rep")
+    names = ["family", "share", "probe", "rep", "root", "loose", "t"]
 
     def run(batches):
-        held: dict = {"key": None, "rows": []}
-
-        def flush():
-            rows = held["rows"]
-            if len(rows) > 1:
-                columns = list(zip(*rows))
-                c, d = divmod(columns[2][0], s.width)
-                first = columns[8][0]
-                return list(pairs(((c, d, _chunk_key(first, c, d, s)), columns[3], columns[4], columns[5], columns[6], columns[7], columns[8])))
-            return []
-
-        out = []
+        key, block, index = None, [], None
         for batch in batches:
-            for rows in slices(batch, "key", "share", "slot", "rep", "root", "loose", "home", "hub", "sig"):
-                for row in zip(*rows):
-                    if row[:2] != held["key"]:
-                        out += flush()
-                        held["key"], held["rows"] = row[:2], []
-                    held["rows"].append(row)
-                if len(out) > 4096:
-                    yield made(out, batch)
-                    out = []
-        out += flush()
-        if out:
-            yield made(out, batch)
-
-    def made(out, batch):
-        own = batch.schema.field(batch.schema.get_field_index("rep")).type
-        return pa.RecordBatch.from_arrays([pa.array(list(x), own) for x in zip(*out)], ["a", "b"])
-
-    grouped = members.repartition("key", "share").sortWithinPartitions("key", "share")
-    return grouped.select("key", "share", "slot", "rep", "root", "loose", "home", "hub", "sig").mapInArrow(run, f"a {kind}, b {kind}")
+            out = []
+            for columns in slices(batch, *names):
+                for family, share, probe, rep, root, loose, text in zip(*columns):
+                    if (family, share) != key:
+                        key, block, index = (family, share), [], None
+                    own = shingles(text, s.shingle)
+                    if not probe:
+                        block.append((rep, root, loose, own))
+                        continue
+                    if index is None and block:
+                        index = Block(block)
+                    if block:
+                        out += index.links(rep, root, own, s.percent)
+            kind = batch.schema.field(names.index("rep")).type
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], kind) for i in range(2)], ["a", "b"])
+
+    kind = id_field(docs, id_col)
+    return rows.select(*names).mapInArrow(run, f"a {kind}, b {kind}")
+
+
+class Block:
+    """The sets of some classes as one sorted array of shingles, each with its class."""
+
+    def __init__(self, rows: list):
+        self.reps, self.roots, self.loose, sets = map(list, zip(*rows))
+        self.sizes = np.array(list(map(len, sets)), np.int64)
+        line = np.concatenate(sets)
+        order = np.argsort(line, kind="stable")
+        self.line, self.owner = line[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def links(self, rep, root, own: np.ndarray, percent: int) -> list[tuple]:
+        low, high = np.searchsorted(self.line, own, "left"), np.searchsorted(self.line, own, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.reps))
+        similar = np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(own) - both)))
+        found = {}
+        for j in similar:
+            if self.roots[j] != root and not (self.loose[j] and self.reps[j] >= rep):
+                found.setdefault(self.roots[j], (rep, self.reps[j]))
+        return list(found.values())
 
 
 def _chunk_key(sig: bytes, c: int, d: int, s: Settings) -> bytes:
@@ -224,11 +210,10 @@ def _chunk_key(sig: bytes, c: int, d: int, s: Settings) -> bytes:
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_shingles long, component_id (the smallest id reachable)."""
-    kind = id_field(docs, id_col)
     with short_batches(docs.sparkSession):
         rows = materialise(signed(docs, s, id_col, text_col), "signatures")
     alive = rows.where("id is not null and set_hash is not null")
-    classes = alive.groupBy("set_hash").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
+    classes = alive.groupBy("set_hash").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
     keyed = _slotted(classes, s)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(keyed.join(shared, "key"), "members")  # rep, slot, key, n
@@ -243,10 +228,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     own = alive.join(same.select("id"), "id", "left_semi").join(classes.select("set_hash", "rep"), "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(own)
     roots = components(links)
-    left = _unsettled(members, roots, classes, s)
+    dealt = materialise(_unsettled(members, roots, classes, s), "families")
     with short_batches(docs.sparkSession):
-        more = materialise(plausible(left, s, kind).distinct(), "pairs")
-        more = materialise(linked(more, docs, s, id_col, text_col), "links")
+        more = materialise(settled(dealt, docs, s, id_col, text_col), "links")
     roots = components(links.unionByName(more))
     return (
         rows.join(classes.select("set_hash", "rep"), "set_hash", "left")
@@ -267,17 +251,24 @@ def _slotted(classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, roots: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Members of the keys that hold several components beside their hub's pairs, dealt in shares."""
+    """family, share, probe, rep, root, loose: who is to be compared with whom beside the hubs.
+
+    A key's family is its hub's component. A member in another component is loose there; the family's
+    classes are all members of its keys that have a loose one, each once. They are dealt over shares
+    of about `block` shingles, and loose ones are sent to every share as probes.
+    """
     root = roots.select(F.col("node").alias("rep"), "root")
     placed = members.where("n > 2").join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    of_hub = placed.where("rep = hub").select("key", F.col("root").alias("hub_root"))
-    placed = placed.join(of_hub, "key").withColumn("loose", F.col("root") != F.col("hub_root"))
-    open_keys = placed.groupBy("key").agg(F.max("loose").alias("any"), F.count("*").alias("size")).where("any").select("key", "size")
-    held = placed.where("rep != hub").join(open_keys, "key").withColumn("shares", F.ceil(F.col("size") / s.block).cast("int"))
-    home = F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")
-    dealt = held.withColumn("own", home).withColumn("share", F.explode(F.when(F.col("loose"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array("own"))))
-    dealt = dealt.withColumn("home", F.col("own") == F.col("share"))
-    return dealt.join(classes.select("rep", "sig"), "rep").select("key", "share", "slot", "rep", "root", "loose", "home", "hub", "sig")
+    of_hub = placed.where("rep = hub").select("key", F.col("root").alias("family"))
+    placed = placed.join(of_hub, "key").withColumn("loose", F.col("root") != F.col("family"))
+    open_keys = placed.groupBy("key").agg(F.max("loose").alias("any")).where("any").select("key")
+    held = placed.join(open_keys, "key", "left_semi").select("family", "rep", "root", "loose").distinct()
+    held = held.join(classes.select("rep", "n_shingles"), "rep")
+    shares = held.groupBy("family").agg(F.ceil(F.sum("n_shingles") / s.block).cast("int").alias("shares"))
+    held = materialise(held.join(shares, "family"), "families")
+    blocks = held.withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")).withColumn("probe", F.lit(False))
+    probes = held.where("loose").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("probe", F.lit(True))
+    return blocks.unionByName(probes).select("family", "share", "probe", "rep", "root", "loose")
 
 
 def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
