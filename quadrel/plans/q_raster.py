@@ -9,6 +9,7 @@ from ..functions import dims
 from ..operators import raster as R
 from . import relations as rel
 from .catalog import query
+from .catalog import rounded as r
 
 N = 33
 DEM = """dem AS (SELECT tile, "row", col, avg(z) AS z FROM (SELECT tile, z, CAST(floor(33 - y) AS INTEGER) AS "row", CAST(floor(x) AS INTEGER) AS col FROM points)
@@ -36,10 +37,6 @@ def horn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.horn(grid(spark, sf_dir))
 
 
-def r(value, digits: int = 4):
-    return F.round(value, digits)
-
-
 @query("points", sql=f'WITH {DEM} SELECT tile, "row", col, round(z, 4) AS z FROM dem')
 def a1_grid_mean(spark, sf_dir):
     return dem(spark, sf_dir).withColumn("z", r("z"))

@@ -178,6 +178,8 @@ def with_ctes(names: tuple[str, ...], select: str) -> str:
     wanted = [n for name in names for n in (*NEEDS.get(name, ()), name)]
     parts = [CTES[n] for n in dict.fromkeys(wanted)]
     more = select.lstrip()
+    if more.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + more[15:]
     if more.upper().startswith("WITH "):
         return "WITH " + ", ".join(parts) + ", " + more[5:]
     return "WITH " + ", ".join(parts) + " " + more
