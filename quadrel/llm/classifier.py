@@ -37,8 +37,8 @@ class Settings:
     dim: int = 16
     n_min: int = 3
     n_max: int = 4
-    sample: int = 4000
-    epochs: int = 12
+    sample: int = 2000
+    epochs: int = 16
     rate: float = 0.5
     batch: int = 32
     seed: int = 7

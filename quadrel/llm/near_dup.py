@@ -231,11 +231,18 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     dealt = materialise(_unsettled(members, roots, classes, s), "families")
     with short_batches(docs.sparkSession):
         more = materialise(settled(dealt, docs, s, id_col, text_col), "links")
-    roots = components(links.unionByName(more))
+    # links between components are few: the components of these alone, then both steps from a class
+    first = roots.select(F.col("node").alias("rep"), "root")
+    of = lambda c: more.join(first, more[c] == F.col("rep"), "left").select(F.coalesce("root", more[c]).alias(f"{c}_root"), "a", "b")
+    between = of("a").join(of("b").select("a", "b", "b_root"), ["a", "b"])
+    second = components(between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    second = second.select(F.col("node").alias("root"), F.col("root").alias("further"))
     return (
         rows.join(classes.select("set_hash", "rep"), "set_hash", "left")
-        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("root", "rep", "id")).alias("component_id"))
+        .join(first, "rep", "left")
+        .withColumn("root", F.coalesce("root", "rep", "id"))
+        .join(second, "root", "left")
+        .select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("further", "root")).alias("component_id"))
     )
 
 

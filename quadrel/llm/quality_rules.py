@@ -32,7 +32,7 @@ SPACE, SCALE = r"[ \t-\r]+", 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 1 << 14
+    buckets: int = 1 << 13
     alpha: float = 1.0
     threshold: float = -0.2
 
