@@ -10,8 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALONG_ROW = Window.partitionBy("tile", "row").orderBy("col")
-ALONG_COL = Window.partitionBy("tile", "col").orderBy("row")
+
+
+def along_row():
+    return Window.partitionBy("tile", "row").orderBy("col")
+
+
+def along_col():
+    return Window.partitionBy("tile", "col").orderBy("row")
 
 
 def grid_mean(points: DataFrame, minx: float, miny: float, rows: int, cols: int, resolution: float = 1.0) -> DataFrame:
@@ -38,9 +44,9 @@ def neighbour(value: Column, step: int, window) -> Column:
 def horn(grid: DataFrame, resolution: float = 1.0) -> DataFrame:
     """grid with dzdx, dzdy (north positive): Horn's weighted differences, border cells repeated."""
     z = F.col("z")
-    flat = grid.withColumns({"_w": neighbour(z, -1, ALONG_ROW), "_e": neighbour(z, 1, ALONG_ROW)})
+    flat = grid.withColumns({"_w": neighbour(z, -1, along_row()), "_e": neighbour(z, 1, along_row())})
     flat = flat.withColumns({"_dx": F.col("_e") - F.col("_w"), "_sum": F.col("_w") + 2 * z + F.col("_e")})
-    up = lambda c, k: neighbour(F.col(c), k, ALONG_COL)
+    up = lambda c, k: neighbour(F.col(c), k, along_col())
     both = flat.withColumns(
         {
             "_gx": up("_dx", -1) + 2 * F.col("_dx") + up("_dx", 1),
@@ -78,7 +84,7 @@ def hillshade(dzdx: Column, dzdy: Column, azimuth: float = 315.0, altitude: floa
 def box_sums(grid: DataFrame, half: int, **columns: Column) -> DataFrame:
     """grid with the sums of columns over the clipped (2 half + 1) squared box around each cell."""
     out = grid.withColumns({f"_{k}": v for k, v in columns.items()})
-    for window in (ALONG_ROW, ALONG_COL):
+    for window in (along_row(), along_col()):
         frame = window.rowsBetween(-half, half)
         out = out.withColumns({f"_{k}": F.sum(f"_{k}").over(frame) for k in columns})
     return out.withColumnsRenamed({f"_{k}": k for k in columns})
@@ -88,7 +94,7 @@ def roughness(grid: DataFrame, half: int = 1) -> DataFrame:
     """grid with roughness: population deviation in the box, border cells repeated, voids skipped."""
     z = F.col("z")
     out = grid.withColumns({"_n": F.when(z.isNotNull(), 1.0).otherwise(0.0), "_s": F.coalesce(z, F.lit(0.0)), "_q": F.coalesce(z * z, F.lit(0.0))})
-    for window, at in ((ALONG_ROW, "col"), (ALONG_COL, "row")):
+    for window, at in ((along_row(), "col"), (along_col(), "row")):
         first = F.col(at) - F.min(at).over(Window.partitionBy(*window_keys(at)))
         last = F.max(at).over(Window.partitionBy(*window_keys(at))) - F.col(at)
         frame = window.rowsBetween(-half, half)
@@ -109,7 +115,7 @@ def fill_gaps(grid: DataFrame, rounds: int = 8) -> DataFrame:
     """Voids take the mean of their known 4-neighbours, round by round."""
     for _ in range(rounds):
         z = F.col("z")
-        around = [F.lag(z).over(ALONG_ROW), F.lead(z).over(ALONG_ROW), F.lag(z).over(ALONG_COL), F.lead(z).over(ALONG_COL)]
+        around = [F.lag(z).over(along_row()), F.lead(z).over(along_row()), F.lag(z).over(along_col()), F.lead(z).over(along_col())]
         n = sum((F.when(a.isNotNull(), 1).otherwise(0) for a in around), F.lit(0))
         s = sum((F.coalesce(a, F.lit(0.0)) for a in around), F.lit(0.0))
         grid = grid.withColumn("z", F.coalesce(z, s / F.nullif(n, F.lit(0))))
