@@ -93,6 +93,28 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), g AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM s UNION SELECT both_.b, reach.root FROM reach JOIN both_ ON both_.a = reach.doc_id
+), roots AS (
+  SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM s JOIN roots USING (doc_id)
+"""
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -105,4 +127,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_topk, op5_html_text, op6_pii, op7_lm_score, op8_token_counts, op9_near_duplicates, op10_quality_classifier)}
-ORACLES = {"op4_topk": OP4_SQL}
+ORACLES = {"op4_topk": OP4_SQL, "op9_near_duplicates": OP9_SQL}
