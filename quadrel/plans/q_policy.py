@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import policy as P
 from . import relations as rel
 from .catalog import query
 
@@ -13,12 +14,7 @@ FAMILY = "CASE WHEN lower(trim(split_part(family, '#', 1))) = 'none' THEN 'none'
 
 def registry(spark, sf_dir) -> DataFrame:
     """With the family read up to its comment (v15)."""
-    plain = F.trim(F.split("family", "#")[0])
-    return rel.registry(spark, sf_dir).withColumn("family", F.when(F.lower(plain) == "none", "none").otherwise(plain))
-
-
-def used(spark, sf_dir) -> DataFrame:
-    return rel.manifests(spark, sf_dir).select("source_id").distinct()
+    return P.plain_families(rel.registry(spark, sf_dir))
 
 
 @query("registry", sql="SELECT source_id, CASE WHEN tier = 'quarantined' THEN 'quarantined' WHEN NOT commercial THEN 'not commercially clear' ELSE 'ok' END AS verdict FROM registry")
@@ -30,13 +26,12 @@ def v1_ingestible(spark, sf_dir):
 @query("registry", "manifests", sql="SELECT DISTINCT m.source_id, m.version, r.pin FROM manifests m JOIN registry r USING (source_id) WHERE r.pin IS NOT NULL AND r.pin <> m.version")
 def v10_version_pins(spark, sf_dir):
     """Versions that aren't the pinned one (v2); a source without a pin is fine."""
-    m = rel.manifests(spark, sf_dir).select("source_id", "version").distinct()
-    return m.join(registry(spark, sf_dir).select("source_id", "pin"), "source_id").where("pin is not null and pin <> version")
+    return P.unpinned(rel.manifests(spark, sf_dir), registry(spark, sf_dir))
 
 
 @query("registry", "manifests", sql="SELECT DISTINCT source_id FROM manifests WHERE source_id NOT IN (SELECT source_id FROM registry)")
 def v4_unknown_sources(spark, sf_dir):
-    return used(spark, sf_dir).join(registry(spark, sf_dir), "source_id", "left_anti")
+    return P.unknown(rel.manifests(spark, sf_dir), registry(spark, sf_dir))
 
 
 @query("registry", sql="""SELECT 'tier' AS finding, source_id FROM registry WHERE tier IN ('quarantined', 'research') UNION ALL SELECT 'attribution', source_id FROM registry WHERE attribution IS NULL
@@ -44,49 +39,32 @@ def v4_unknown_sources(spark, sf_dir):
   UNION ALL SELECT 'commercial', source_id FROM registry WHERE NOT commercial""")
 def v11_check_registry(spark, sf_dir):
     """All findings in one pass over the registry: tier (v5), attribution (v6), vintage (v7), role (v8), commercial (v9)."""
-    rules = {
-        "tier": F.col("tier").isin("quarantined", "research"),
-        "attribution": F.col("attribution").isNull(),
-        "vintage": F.lower("licence").contains("verify per vintage") & F.col("pin").isNull(),
-        "role": (F.col("tier") != "quarantined") & F.col("role").isNull(),
-        "commercial": ~F.col("commercial"),
-    }
-    found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    return registry(spark, sf_dir).select(F.explode(found).alias("finding"), "source_id")
+    return P.findings(registry(spark, sf_dir))
 
 
 @query("registry", "manifests", sql="""SELECT DISTINCT m.tile, m.source_id FROM manifests m JOIN registry r USING (source_id) WHERE r.role = 'training_only' AND m.role = 'input'""")
 def v8_export_roles(spark, sf_dir):
     """Sources for training only that a tile would ship (v3's blocking findings)."""
-    m = rel.manifests(spark, sf_dir).where("role = 'input'").select("tile", "source_id").distinct()
-    return m.join(registry(spark, sf_dir).where("role = 'training_only'").select("source_id"), "source_id", "left_semi").select("tile", "source_id")
+    return P.not_for_export(rel.manifests(spark, sf_dir), registry(spark, sf_dir))
 
 
 @query("registry", "manifests", sql="""SELECT m.tile, CASE WHEN bool_or(coalesce(r.tier, '') <> 'core') THEN 'share-alike' ELSE 'attribution-only' END AS all_roles,
   CASE WHEN coalesce(bool_or(coalesce(r.tier, '') <> 'core') FILTER (m.role = 'input'), false) THEN 'share-alike' ELSE 'attribution-only' END AS inputs FROM manifests m LEFT JOIN registry r USING (source_id) GROUP BY m.tile""")
 def v12_redistribution(spark, sf_dir):
     """A tile's class: share-alike if any source is unknown or not core (j21), over all roles and for inputs."""
-    m = rel.manifests(spark, sf_dir).join(registry(spark, sf_dir).select("source_id", "tier"), "source_id", "left")
-    bad = F.coalesce("tier", F.lit("")) != "core"
-    named = lambda c: F.when(c, "share-alike").otherwise("attribution-only")
-    return m.groupBy("tile").agg(named(F.bool_or(bad)).alias("all_roles"), named(F.bool_or(bad & (F.col("role") == "input"))).alias("inputs"))
+    return P.redistribution(rel.manifests(spark, sf_dir), registry(spark, sf_dir))
 
 
 @query("registry", "manifests", sql=f"""WITH f AS (SELECT m.tile, m.source_id, {FAMILY} AS family FROM manifests m JOIN registry USING (source_id))
   SELECT tile, string_agg(DISTINCT source_id, ',' ORDER BY source_id) FILTER (family <> 'none') AS sources FROM f GROUP BY tile HAVING bool_or(family = 'ODbL') AND bool_or(family = 'CC-BY-SA')""")
 def a32_share_alike_conflicts(spark, sf_dir):
     """Tiles that combine two licence families which exclude each other (u5)."""
-    m = rel.manifests(spark, sf_dir).select("tile", "source_id").distinct().join(registry(spark, sf_dir).select("source_id", "family"), "source_id")
-    got = m.groupBy("tile").agg(F.collect_set("family").alias("families"), F.sort_array(F.collect_set(F.when(F.col("family") != "none", F.col("source_id")))).alias("ids"))
-    clash = F.size(F.array_except(F.array(F.lit("ODbL"), F.lit("CC-BY-SA")), "families")) == 0
-    return got.where(clash).select("tile", F.array_join("ids", ",").alias("sources"))
+    return P.conflicts(rel.manifests(spark, sf_dir), rel.registry(spark, sf_dir))
 
 
 @query("registry", "manifests", sql="""SELECT trim(regexp_replace(attribution, '\\s+', ' ', 'g')) AS line, min(source_id) AS first_id, count(*) AS n FROM registry WHERE attribution IS NOT NULL AND source_id IN (SELECT source_id FROM manifests) GROUP BY 1""")
 def a33_attribution_lines(spark, sf_dir):
-    own = registry(spark, sf_dir).where("attribution is not null").join(used(spark, sf_dir), "source_id", "left_semi")
-    line = F.trim(F.regexp_replace("attribution", r"\s+", " "))
-    return own.groupBy(line.alias("line")).agg(F.min("source_id").alias("first_id"), F.count("*").alias("n"))
+    return P.attribution(rel.manifests(spark, sf_dir), registry(spark, sf_dir))
 
 
 @query("registry", "manifests", sql="SELECT tile, source_id, count(*) AS n FROM manifests GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT -1, source_id, 1 FROM registry WHERE source_id = 'src0000'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, geo
 from ..operators import rangejoin as J
+from ..operators import splits as S
 from . import relations as rel
 from .catalog import query
 from .catalog import rounded as r
@@ -76,11 +77,8 @@ def j18_neighbour_tiles(spark, sf_dir):
 @query("tiles", sql="""SELECT DISTINCT a.tile FROM tiles a JOIN tiles b ON a.site % 3 <> b.site % 3 AND greatest(abs(a.ix - b.ix), abs(a.iy - b.iy)) <= 1""")
 def j7_buffer_tiles(spark, sf_dir):
     """Tiles within one step (Chebyshev, m23) of a tile that is assigned elsewhere: l1's buffer."""
-    t = rel.tiles(spark, sf_dir).withColumn("part", F.col("site") % 3)
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    reach = t.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-    reach = reach.select((F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), F.col("part").alias("other"))
-    return t.join(reach, [t.ix == reach.ix, t.iy == reach.iy, t.part != reach.other], "left_semi").select("tile")
+    parts = spark.createDataFrame([(i, str(i % 3)) for i in range(5)], "site int, part string")
+    return S.assigned(rel.tiles(spark, sf_dir), parts).where("part = 'buffer'").select("tile")
 
 
 @query("tiles", sql="""SELECT least(a.site % 3, b.site % 3) AS part, greatest(a.site % 3, b.site % 3) AS other, min(least(a.tile, b.tile) * 100 + greatest(a.tile, b.tile)) AS witness
@@ -104,10 +102,7 @@ def a31_split_counts(spark, sf_dir):
 @query("tiles", sql="SELECT f.site AS fold, t.tile, CASE WHEN t.site = f.site THEN 'held' ELSE 'train' END AS side FROM tiles t, (SELECT DISTINCT site FROM tiles) f")
 def l5_leave_one_site_out(spark, sf_dir):
     """One fold a site; sites are a handful, gathered as an array and exploded."""
-    t = rel.tiles(spark, sf_dir)
-    folds = t.agg(F.sort_array(F.collect_set("site")).alias("folds"))
-    rows = t.withColumn("k", F.lit(1)).join(F.broadcast(folds.withColumn("k", F.lit(1))), "k")
-    return rows.select(F.explode("folds").alias("fold"), "tile", "site").select("fold", "tile", F.when(F.col("site") == F.col("fold"), "held").otherwise("train").alias("side"))
+    return S.folds(rel.tiles(spark, sf_dir))
 
 
 @query("tiles", sql="SELECT tile, site FROM tiles WHERE site % 3 <> 1 AND site IN (SELECT site FROM tiles GROUP BY site HAVING count(*) >= 5)")
@@ -282,7 +277,7 @@ def s34_area_query(spark, sf_dir):
 
 @query(sql="""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '12.0' WHEN 1 THEN '1998-04-01' WHEN 2 THEN '' WHEN 3 THEN 'x' ELSE CAST(p_partkey + 1400 AS VARCHAR) END AS s FROM part),
   y AS (SELECT id, s, TRY_CAST(s AS DOUBLE) AS f, coalesce(CAST(TRY_CAST(s AS DOUBLE) AS BIGINT), TRY_CAST(nullif(regexp_extract(s, '^([0-9]{4})', 1), '') AS BIGINT)) AS i FROM t)
-  SELECT id, f, i, CASE WHEN i BETWEEN 1500 AND 2027 THEN i END AS plausible FROM y""")
+  SELECT id, f, i::DOUBLE AS i, CASE WHEN i BETWEEN 1500 AND 2027 THEN i::DOUBLE END AS plausible FROM y""")
 def p26_tolerant_casts(spark, sf_dir):
     """Numbers out of untidy text, and years that can be (p25)."""
     k = F.col("p_partkey")
@@ -290,7 +285,7 @@ def p26_tolerant_casts(spark, sf_dir):
     t = rel.table(spark, sf_dir, "part").select(k.alias("id"), s.alias("s"))
     f = F.col("s").try_cast("double")
     i = F.coalesce(f.cast("long"), F.nullif(F.regexp_extract("s", "^([0-9]{4})", 1), F.lit("")).try_cast("long"))
-    return t.select("id", f.alias("f"), i.alias("i")).withColumn("plausible", F.when(F.col("i").between(1500, 2027), F.col("i")))
+    return t.select("id", f.alias("f"), i.cast("double").alias("i")).withColumn("plausible", F.when(F.col("i").between(1500, 2027), F.col("i")))
 
 
 @query(sql="""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'bridge' WHEN o_orderkey % 5 = 0 THEN 'tunnel' WHEN o_orderkey % 7 = 0 THEN 'embankment' WHEN o_orderkey % 11 = 0 THEN 'cutting' ELSE 'ground' END AS structure,
