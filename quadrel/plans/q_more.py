@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import burn as B
+from ..operators import curves as C
 from ..operators import graph as G
 from ..operators import local as L
+from ..operators import raster as R
 from . import relations as rel
 from .catalog import query
 from .catalog import rounded as r
-from .q_graph import CLASSED, LEN, classed, measured
+from .q_graph import CLASSED, LEN, classed, lines, measured
 from .q_score import f1
 
 CELL = 20.0
@@ -160,6 +162,57 @@ def a19_fold_scores(spark, sf_dir):
     return per.agg(r(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 5).alias("pooled"), r(F.avg("f"), 5).alias("per_tile"))
 
 
+W8 = """w AS (SELECT CAST(i - 4 AS INTEGER) AS o, exp(-(i - 4) * (i - 4) / 2.0::DOUBLE) / sum(exp(-(i - 4) * (i - 4) / 2.0::DOUBLE)) OVER () AS w FROM range(9) t(i)), s AS (SELECT tile, "row" AS rw, col, v FROM stack WHERE tile % 10 = 0),
+  a AS (SELECT g.tile, g.rw, g.col, sum(w * h.v) AS v FROM s g, w JOIN s h ON h.tile = g.tile AND h.rw = g.rw AND h.col = CASE WHEN g.col + o < 0 THEN -g.col - o - 1 WHEN g.col + o > 7 THEN 15 - g.col - o ELSE g.col + o END GROUP BY ALL)"""
+
+
+@query("stack", sql=f"""WITH {W8} SELECT g.tile, g.rw, g.col, round(sum(w * h.v), 4) AS v FROM a g, w JOIN a h ON h.tile = g.tile AND h.col = g.col AND h.rw = CASE WHEN g.rw + o < 0 THEN -g.rw - o - 1 WHEN g.rw + o > 7 THEN 15 - g.rw - o ELSE g.rw + o END GROUP BY g.tile, g.rw, g.col""")
+def w8_gaussian(spark, sf_dir):
+    s = rel.stack(spark, sf_dir).where("tile % 10 = 0").select("tile", "row", "col", "v")
+    return R.gaussian(s, 8, 8, 1.0).select("tile", F.col("row").alias("rw"), "col", r("v").alias("v"))
+
+
+@query("ways", "nodes", sql="""WITH p AS (SELECT way, x, y, coalesce(lead(x) OVER o, x) - coalesce(lag(x) OVER o, x) AS dx, coalesce(lead(y) OVER o, y) - coalesce(lag(y) OVER o, y) AS dy FROM ways JOIN nodes ON id = ref WINDOW o AS (PARTITION BY way ORDER BY pos)),
+  t AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN dx / sqrt(dx * dx + dy * dy) ELSE 0 END AS tx, CASE WHEN dx * dx + dy * dy > 0 THEN dy / sqrt(dx * dx + dy * dy) ELSE 0 END AS ty FROM p)
+  SELECT way, round(sum(x - ty * 2.5), 3) AS left_x, round(sum(y + tx * 2.5), 3) AS left_y, round(sum(x + ty * 2.5), 3) AS right_x FROM t GROUP BY way""")
+def m25_ribbon(spark, sf_dir):
+    """Both sides of a road of 5 m along its line."""
+    both = F.zip_with("line", C.tangents(F.col("line")), lambda p, t: F.struct((p["x"] - t["ty"] * 2.5).alias("lx"), (p["y"] + t["tx"] * 2.5).alias("ly"), (p["x"] + t["ty"] * 2.5).alias("rx")))
+    rows = lines(spark, sf_dir).select("way", both.alias("b"))
+    sums = lambda f: r(geo.total(F.transform("b", lambda p: p[f])), 3)
+    return rows.select("way", sums("lx").alias("left_x"), sums("ly").alias("left_y"), sums("rx").alias("right_x"))
+
+
+@query("tiles", sql="SELECT tile, ix, iy FROM tiles ORDER BY iy, ix LIMIT 7")
+def t7_first_tiles(spark, sf_dir):
+    """The first tiles in row-major order: the limit is the operator."""
+    return rel.tiles(spark, sf_dir).orderBy("iy", "ix").limit(7).select("tile", "ix", "iy")
+
+
+@query("buildings", sql="SELECT a.id AS a, b.id AS b FROM buildings a JOIN buildings b ON a.id < b.id AND a.id % 4 = 0 AND b.id % 4 = 0 AND a.x + a.side >= b.x AND b.x + b.side >= a.x AND a.y + a.side >= b.y AND b.y + b.side >= a.y")
+def p5_touching_boxes(spark, sf_dir):
+    """Pairs of boxes that share area, an edge or a corner: bucketed, each pair from the bucket of its first corner."""
+    b = rel.buildings(spark, sf_dir).where("id % 4 = 0").select("id", "x", "y", (F.col("x") + F.col("side")).alias("x2"), (F.col("y") + F.col("side")).alias("y2"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / 60), F.floor(F.col(hi) / 60))
+    c = b.withColumn("cx", F.explode(span("x", "x2"))).withColumn("cy", F.explode(span("y", "y2")))
+    o = c.toDF("b", "bx", "by", "bx2", "by2", "cx", "cy")
+    both = c.join(o, ["cx", "cy"]).where("id < b").where(geo.touches(tuple(map(F.col, ("x", "y", "x2", "y2"))), tuple(map(F.col, ("bx", "by", "bx2", "by2")))))
+    first = (F.col("cx") == F.floor(F.greatest("x", "bx") / 60)) & (F.col("cy") == F.floor(F.greatest("y", "by") / 60))
+    return both.where(first).select(F.col("id").alias("a"), "b")
+
+
+@query("manifests", sql="SELECT DISTINCT role, version FROM manifests")
+def u6_distinct_versions(spark, sf_dir):
+    return rel.manifests(spark, sf_dir).select("role", "version").distinct()
+
+
+@query(sql="SELECT o_custkey AS archive, count(*) AS n, printf('%d members, %.3f MB, %d large', count(*), sum(floor(o_totalprice)) / 1000000, count(*) FILTER (o_totalprice > 200000)) AS line FROM orders WHERE o_custkey % 9 = 1 GROUP BY o_custkey")
+def a35_fetch_reports(spark, sf_dir):
+    o = rel.table(spark, sf_dir, "orders").where("o_custkey % 9 = 1").groupBy(F.col("o_custkey").alias("archive"))
+    large = F.count_if(F.col("o_totalprice") > 200000)
+    return o.agg(F.count("*").alias("n"), F.format_string("%d members, %.3f MB, %d large", F.count("*"), F.sum(F.floor("o_totalprice").cast("double")) / 1000000, large).alias("line"))
+
+
 @query()
 def gr17_routes(spark, sf_dir):
     """Grade-limited routes over each tile's block of heights (gr18, gr19)."""
