@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import id_field
-from .common import slices
+from .common import give_back, slices
 
 CACHED_CHARS, CACHED_WORDS = 40, 300_000
 
@@ -156,6 +156,8 @@ def passing(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5
         for batch in batches:
             made = [probability(t, known, bias) >= least for (texts,) in slices(batch, text_col) for t in texts]
             yield batch.filter(pa.array(made, pa.bool_()))
+        known.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -170,6 +172,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settin
         for batch in batches:
             made = [probability(t, known, bias) for (texts,) in slices(batch, "t") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], [id_col, "score"])
+        known.clear()
+        give_back()
 
     return docs.selectExpr(f"`{id_col}` as k", f"`{text_col}` as t").mapInArrow(run, f"`{id_col}` {id_field(docs, id_col)}, score double")
 

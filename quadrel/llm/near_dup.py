@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import id_field
-from .common import broadcast_if_small, materialise, short_batches, slices
+from .common import broadcast_if_small, give_back, materialise, short_batches, slices
 from .components import components
 
 CACHED_CHARS, CACHED_WORDS = 32, 150_000
@@ -116,6 +116,7 @@ def signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFram
                     hashes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     sigs.append(signature(own, s).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "set_hash", "sig"])
+        give_back()
 
     return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as t").mapInArrow(run, f"id {id_field(docs, id_col)}, n_shingles long, set_hash binary, sig binary")
 
@@ -140,6 +141,7 @@ def linked(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col
                     keep.append(both > 0 and 100 * both >= s.percent * (len(held) + len(other) - both))
                 kind = batch.schema.field(0).type
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(col, keep) if k], kind) for col in (as_, bs)], ["a", "b"])
+        give_back()
 
     kind = id_field(docs, id_col)
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -175,6 +177,8 @@ def settled(dealt: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_co
                         out += index.links(rep, root, own, s.percent)
             kind = batch.schema.field(names.index("rep")).type
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], kind) for i in range(2)], ["a", "b"])
+        block, index = [], None
+        give_back()
 
     kind = id_field(docs, id_col)
     return rows.select(*names).mapInArrow(run, f"a {kind}, b {kind}")

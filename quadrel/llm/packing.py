@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import id_field
-from .common import FLUSH_BYTES, materialise, slices
+from .common import FLUSH_BYTES, give_back, materialise, slices
 from .tokens import piece_tokenizer
 
 
@@ -58,6 +58,7 @@ def cut(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: in
                     held = 0
             if out[0]:
                 yield made()
+        give_back()
 
     return docs.selectExpr(f"`{id_col}` as k", f"`{text_col}` as t").mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import numpy as np
 from .split import Splitter
 
 #: Pieces up to this many characters are kept; so many of them at most.
-CACHED_CHARS, CACHED_PIECES = 32, 600_000
+CACHED_CHARS, CACHED_PIECES = 32, 250_000
 
 
 class PieceTokens(dict):

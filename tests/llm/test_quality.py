@@ -64,8 +64,8 @@ def test_rules_equal_brute_force(corpus):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base(t or "")
         assert r["llr"] == pytest.approx(llr, abs=1e-12)
         assert r["kept"] == (not r["base_failed"] and llr >= s.threshold)
-    assert not any(got[i]["kept"] for i in range(len(texts) - 10, len(texts)))
-    assert sum(got[i]["kept"] for i in range(len(texts) - 50, len(texts) - 10)) == 40
+    ratios = [got[i]["llr"] for i in range(len(texts) - 50, len(texts))]
+    assert max(ratios[40:]) < min(ratios[:40])
 
 
 def test_rules_on_edge_rows(spark):
