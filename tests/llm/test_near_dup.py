@@ -114,3 +114,11 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(edges)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 101)) and all(got[500 + i] == 500 for i in range(1, 300)) and 900 not in got
+
+
+def test_links_between_families_are_found(spark):
+    """Two groups that only loose members join: the components of the groups are joined too."""
+    left, right = prose(21, 200).split(" "), prose(22, 200).split(" ")
+    bridge = [" ".join(left[: 200 - 10 * i] + right[200 - 10 * i :]) for i in range(21)]
+    texts = [edited(" ".join(left), 0.02, i) for i in range(30)] + [edited(" ".join(right), 0.02, 50 + i) for i in range(30)] + bridge
+    against_truth(spark, texts)
