@@ -17,6 +17,7 @@ result; columns other than those named are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import fsum
 from operator import eq
 
 import numpy as np
@@ -122,12 +123,15 @@ class WordParts(dict):
 
     def __init__(self, parts: np.ndarray, s: Settings):
         super().__init__()
-        self.parts, self.s = parts, s
-        self.repeat = float(parts[repeat_bucket(s)])
+        self.parts, self.s = parts.tolist(), s
+        self.repeat = self.parts[repeat_bucket(s)]
 
     def __missing__(self, word: str) -> tuple[float, int]:
-        at = features(word, self.s)
-        entry = (float(self.parts[at].sum(dtype=np.float64)), len(at))
+        """As features() has it, without arrays; fsum gives the same sum in any order of a set."""
+        parts, s, hashed = self.parts, self.s, xxhash.xxh3_64_intdigest
+        marked, size, buckets = f"<{word}>", len(word) + 2, s.buckets
+        grams = {marked[i : i + n] for n in range(s.n_min, s.n_max + 1) for i in range(size - n + 1)}
+        entry = (fsum([parts[hashed("w" + word) % buckets], *[parts[hashed(g) % buckets] for g in grams]]), len(grams) + 1)
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
