@@ -91,3 +91,20 @@ def test_sampled_pairs_are_those_of_the_whole_list():
     every = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
     drawn = sorted(np.random.default_rng(0).choice(len(every), 90, replace=False))
     assert local.sampled_pairs(ids, 90) == [every[i] for i in drawn] and local.sampled_pairs(ids[:5], 90) == [(a, b) for i, a in enumerate(ids[:5]) for b in ids[i + 1 : 5]]
+
+
+def test_topo_sees_breaks_beyond_the_smallest_ids():
+    places = {i: (100.0 * i, 0.0) for i in range(200)}
+    edges = [(i, i + 1, 100.0) for i in range(199)]
+    cut = [e for e in edges if e[0] != 150]
+    precision, recall, _ = local.topo(edges, places, cut, places, 10.0)
+    reached = sum(min(199, i + 3) - max(0, i - 3) + 1 for i in range(200))
+    kept = sum(min(150 if i <= 150 else 199, i + 3) - max(0 if i <= 150 else 151, i - 3) + 1 for i in range(200))
+    assert (precision, recall) == (1.0, kept / reached) and recall < 1.0
+
+
+def test_topo_takes_matched_seeds_only():
+    places = {i: (100.0 * i, 0.0) for i in range(5)}
+    edges = [(i, i + 1, 100.0) for i in range(4)]
+    assert local.topo(edges, places, edges, {4: places[4]}, 10.0, 100.0) == (0.5, 0.5, 0.5)
+    assert local.topo(edges, places, edges, {}, 10.0) == (0.0, 0.0, 0.0)
