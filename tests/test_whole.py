@@ -93,6 +93,13 @@ def test_sampled_pairs_are_those_of_the_whole_list():
     assert local.sampled_pairs(ids, 90) == [every[i] for i in drawn] and local.sampled_pairs(ids[:5], 90) == [(a, b) for i, a in enumerate(ids[:5]) for b in ids[i + 1 : 5]]
 
 
+@pytest.mark.parametrize(("name", "key"), [("gr11_extracted_graphs", "graph"), ("gr17_routes", "tile")])
+def test_each_tile_has_a_row(spark, name, key):
+    tiles = {r.tile for r in rel.stack(spark, SMALL).select("tile").distinct().collect()}
+    rows = QUERIES[name](spark, SMALL).collect()
+    assert len(rows) == len(tiles) and {r[key] for r in rows} == tiles
+
+
 def test_topo_sees_breaks_beyond_the_smallest_ids():
     places = {i: (100.0 * i, 0.0) for i in range(200)}
     edges = [(i, i + 1, 100.0) for i in range(199)]
