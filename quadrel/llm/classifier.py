@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings, averaged per document, softmax output.
 
 A word's features are the word itself and the character n-grams of <word>, hashed to `buckets` rows
-of a learned table; a word pair whose words are equal adds one feature, the same for all such pairs
-(pairs of different words are nearly all unique and add nothing but noise). A document is the mean of its features' vectors over all words; a linear layer
+of a learned table; each pair of neighbouring words adds that pair, hashed likewise, and a pair whose
+words are equal one more, the same for all such pairs. A document is the mean of its features' vectors over all words and pairs; a linear layer
 and softmax give the label's probability. numpy trains by stochastic gradient descent on at most
 `sample` labelled rows, those of smallest hash (the bound is a parameter; all rows are scored). As
 the layer is linear, a feature's part of the logit is one number: executors get those (a fixed
@@ -38,8 +38,8 @@ class Settings:
     dim: int = 16
     n_min: int = 3
     n_max: int = 4
-    sample: int = 2000
-    epochs: int = 16
+    sample: int = 4000
+    epochs: int = 12
     rate: float = 0.5
     batch: int = 32
     seed: int = 7
@@ -57,6 +57,11 @@ def repeat_bucket(s: Settings) -> int:
     return xxhash.xxh3_64_intdigest("p=") % s.buckets
 
 
+def pair_bucket(pair: tuple[str, str], s: Settings) -> int:
+    """The feature of two neighbouring words; no word holds a space."""
+    return xxhash.xxh3_64_intdigest("p" + " ".join(pair)) % s.buckets
+
+
 def document(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The text's distinct buckets and how often each occurs."""
     counts: dict[str, int] = {}
@@ -64,6 +69,10 @@ def document(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     for word in words:
         counts[word] = counts.get(word, 0) + 1
     parts = [(features(w, s), n) for w, n in counts.items()]
+    pairs: dict[tuple[str, str], int] = {}
+    for pair in zip(words, words[1:]):
+        pairs[pair] = pairs.get(pair, 0) + 1
+    parts += [(np.array([pair_bucket(p, s)]), n) for p, n in pairs.items()]
     if again := sum(map(eq, words, words[1:])):
         parts.append((np.array([repeat_bucket(s)]), again))
     if not parts:
@@ -146,6 +155,10 @@ def probability(text: str | None, known: WordParts, bias: float) -> float:
     for part, k in map(known.__getitem__, words):
         total += part
         n += k
+    if len(words) > 1:
+        parts, hashed, buckets = known.parts, xxhash.xxh3_64_intdigest, known.s.buckets  # as pair_bucket() has it
+        total += sum([parts[hashed(f"p{a} {b}") % buckets] for a, b in zip(words, words[1:])])
+        n += len(words) - 1
     logit = bias + (total / n if n else 0.0)
     return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
