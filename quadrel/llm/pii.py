@@ -1,71 +1,64 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, by pattern and check.
-Every base match is a protected entity. The terms (runs of letters and digits) within `reach`
-characters of an entity are counted with it over all documents: a term discloses an entity if
-their pointwise mutual information, log(N * joint / (df_term * df_entity)), is at least `alpha` of
-the entity's own information, log(N / df_entity). Its occurrences near that entity become spans of
-kind "term", if at least `support` different texts have them together, so that mere copies of one
-text disclose nothing.
-A text is sanitised by generalising base spans to their kind and removing disclosing terms.
-
-Everything is DataFrame functions. Entities are few against words, so term counts are joined with
-the words of all texts by broadcast below a counted size and by shuffle beyond it, and words are
-counted before they are shuffled. The patterns are possessive where the plain form gives the
-same matches, so they are linear on long runs and don't recurse.
-
-Edge cases: a null text counts as empty and has no spans; overlapping spans of different kinds are all
-reported, and generalised once, as the first; repeated rows get the same spans each and are counted
-each; an empty table gives an empty result; columns other than those named are ignored, or kept by
-sanitise.
+Every base match is a protected entity, and so is the value of an assignment to a secret's name
+(`token = "..."`), which is a span of kind "secret". Terms are the runs of letters and digits outside
+of those spans. Over all documents it is counted which documents hold an entity and a term together.
+An entity's information is log2(N / df_entity); what a term tells of it is their pointwise mutual
+information, log2(N * joint / (df_term * df_entity)). A term discloses an entity if it leaves at most
+`left_bits` of that information open (the entity is in at least 2 ** -left_bits of the term's
+documents) and tells at least `told_bits` (what nearly every document holds is disclosed by nothing);
+and at least `support` documents have both, as fewer estimate nothing. Every occurrence of such a term,
+in any document, becomes a span of kind "term". A text is sanitised by generalising base spans and
+secrets to their kind and removing disclosing terms.
+
+Everything is DataFrame functions. No row carries a text beside a match: matches are exploded with the
+length of the gap before them, and positions are running sums in a window of one document, so one text
+of very many matches costs in proportion to them. Only documents with an entity give terms, only terms
+of which enough documents can hold one entity are paired, and entities (terms) of the same set of
+documents are paired as one class, known by two 64-bit sums over that set; so what is paired are
+classes, not the entities and words of a document. Words of all texts are counted before they are
+shuffled, and joined with what is wanted by broadcast below a measured size, by shuffle beyond it.
+The patterns are possessive where the plain form gives the same matches, so they are linear on long
+runs and don't recurse.
+
+Edge cases: a null text counts as empty and has no spans; texts of any length are read whole;
+overlapping spans of different kinds are all reported, and generalised once, as the first; repeated
+rows get the same spans each and are counted each; an empty table gives an empty result; columns other
+than those named are ignored, or kept by sanitise, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret", "term")
+SECRET, TERM_KIND = 4, 5
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:pass(?:word|wd)|secret|token|(?:api|access|private|auth)[_-]?key)[\"']?\s{0,8}[:=]\s{0,8}[\"']?[A-Za-z0-9+/_.~-]{8,}+",
 }
-GATES = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9][ -]?[0-9]", "phone": "[+][0-9]"}
+GATES = {"ip": "[0-9][.][0-9]", "card": "[0-9][ -]?[0-9]", "phone": "[+][0-9]", "secret": r"(?i)(?:pass(?:word|wd)|secret|token|key)[\"']?\s{0,8}[:=]"}
 BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 TERM = r"[\p{L}\p{N}]+"
+#: Code points in a part of a text that sanitise cuts from.
+PART = 512
 
 
 @dataclass(frozen=True)
 class Settings:
-    reach: int = 60
     support: int = 2
-    alpha: float = 0.95
-
-
-def occurrences(text: Column, pattern: str, gate: Column, shift: Column) -> Column:
-    """array<struct<start, end, value>> of the pattern's matches in text, moved by shift.
-
-    What lies between matches is found by splitting at them; positions are running sums.
-    """
-    found = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    between = F.when(F.size(found) > 0, F.split(text, pattern, -1))
-    none = F.struct(shift.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.greatest(F.size(found), F.lit(0))), found, lambda a, b: F.struct(a.alias("gap"), b.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, none, step, lambda a: a["out"])).otherwise(empty)
+    left_bits: float = 1.0
+    told_bits: float = 3.0
 
 
 def digits(value: Column) -> Column:
@@ -78,108 +71,170 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(number) - 1), F.lit(0), lambda a, i: a + part(i)) % 10 == 0
 
 
-def valid(kind: str, value: Column) -> Column:
+def secret_of(value: Column) -> Column:
+    """What is assigned, without the name."""
+    return F.regexp_extract(value, r"[:=]\s*[\"']?([A-Za-z0-9+/_.~-]+)$", 1)
+
+
+def valid(kind: Column, value: Column) -> Column:
     n = F.length(digits(value))
-    return {
-        "email": F.lit(True),
-        "ip": value.rlike(rf"^{BYTE}[.]{BYTE}[.]{BYTE}[.]{BYTE}$"),
-        "card": F.when((n >= 14) & (n <= 19), luhn(digits(value))).otherwise(False),
-        "phone": (n >= 10) & (n <= 15),
-    }[kind]
-
-
-def base_spans(docs: DataFrame, t: str = "_t") -> DataFrame:
-    """docs with base: array<struct<start, kind (its number), end, value>>, ordered; t: no nulls."""
-    rows = docs
-    for kind in KINDS:
-        gate = F.col(t).contains("@") if kind == "email" else F.col(t).rlike(GATES[kind])
-        rows = rows.withColumn(f"_{kind}", occurrences(F.col(t), PATTERNS[kind], gate, F.lit(0)))
-
-    def numbered(kind: str) -> Column:
-        passing = F.filter(f"_{kind}", lambda x: valid(kind, x["value"]))
-        return F.transform(passing, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-
-    return rows.withColumn("base", F.sort_array(F.concat(*map(numbered, KINDS)))).drop(*[f"_{k}" for k in KINDS])
-
-
-def contexts(found: DataFrame, s: Settings) -> DataFrame:
-    """row, id, text_hash, entity, term, start, end: each term near a base span of its document."""
-    one = found.where(F.size("base") > 0).select("row", "id", "text_hash", "base", "_t", F.explode("base").alias("e"))
-    left = F.greatest(F.col("e.start") - s.reach, F.lit(0))
-    one = one.select(
-        "row", "id", "text_hash", "base",
-        F.concat_ws(":", F.col("e.kind").cast("string"), F.when(F.col("e.kind") == 0, F.lower("e.value")).otherwise(digits(F.col("e.value")))).alias("entity"),
-        F.explode(F.array(
-            F.struct(left.alias("at"), F.substring("_t", left + 1, F.col("e.start") - left).alias("part"), (left > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(F.col("e.end").alias("at"), F.substring("_t", F.col("e.end") + 1, F.lit(s.reach)).alias("part"), F.lit(False).alias("cut_left"), (F.length("_t") > F.col("e.end") + s.reach).alias("cut_right")),
-        )).alias("c"),
-    )
-    placed = one.withColumn("terms", occurrences(F.col("c.part"), TERM, F.lit(True), F.col("c.at")))
-    rows = placed.select("row", "id", "text_hash", "entity", "base", "c", F.explode("terms").alias("x"))
-    whole = ~(F.col("c.cut_left") & (F.col("x.start") == F.col("c.at"))) & ~(F.col("c.cut_right") & (F.col("x.end") == F.col("c.at") + F.length("c.part")))
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start")))
-    return rows.where(whole & apart).select("row", "id", "text_hash", "entity", F.lower("x.value").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-
-
-def disclosing(near: DataFrame, docs: DataFrame, s: Settings, t: str = "_t") -> DataFrame:
-    """term, entity: the pairs over the threshold. docs: t of all documents."""
-    joint = near.groupBy("term", "entity", "text_hash").agg(F.countDistinct("row").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("joint"), F.count("*").alias("texts"))
-    joint = materialise(joint.where(F.col("texts") >= s.support), "joint")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    wanted = broadcast_if_small(joint.select("term").distinct(), 64)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    known = F.log(F.lit(float(max(docs.count(), 1)))) - F.log("df_entity")
-    shared = known + F.log("joint") - F.log("df_term")
-    return joint.join(terms, "term").join(entities, "entity").where(shared >= s.alpha * known).select("term", "entity")
+    return (
+        F.when(kind == 0, True)
+        .when(kind == 1, value.rlike(rf"^{BYTE}[.]{BYTE}[.]{BYTE}[.]{BYTE}$"))
+        .when(kind == 2, F.when((n >= 14) & (n <= 19), luhn(digits(value))).otherwise(False))
+        .when(kind == 3, (n >= 10) & (n <= 15))
+        .otherwise(secret_of(value).rlike("[0-9]") & secret_of(value).rlike("[A-Za-z]"))
+    )
+
+
+def matches(text: Column, kind: int, pattern: str, gate: Column | None = None) -> Column:
+    """array<struct<kind, pos, gap, value>> of the pattern's matches in text; gap: characters since the last."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), F.lit(1), F.size(found))
+    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
+    made = F.transform(pairs, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x["gap"].alias("gap"), x["value"].alias("value")))
+    empty = F.array().cast("array<struct<kind:int,pos:int,gap:int,value:string>>")
+    return made if gate is None else F.when(gate, made).otherwise(empty)
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
+
+
+def placed(rows: DataFrame, found: str, key: tuple[str, ...]) -> DataFrame:
+    """key, kind, start, end, value: a row for each of the matches in the array found."""
+    each = rows.select(*key, F.inline(found))
+    running = Window.partitionBy(*key, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ended = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(running).cast("int"))
+    return ended.select(*key, "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
+
+
+def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, text_hash, found (matches that aren't checked yet), _t (the text, if there are any)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("_t"))
+    t = F.col("_t")
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        gate = t.contains("@") if kind == "email" else t.rlike(GATES[kind])
+        rows = rows.withColumn(f"_{kind}", matches(t, k, pattern, gate))
+    rows = rows.withColumn("found", F.concat(*[f"_{k}" for k in PATTERNS]))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "text_hash", "found", F.when(F.size("found") > 0, t).alias("_t"))
+
+
+def apart(words: DataFrame, spans: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The rows of words (key, start, end, value) that overlap no row of spans (key, start, end).
+
+    A word is compared with the furthest end before it and the nearest start after it, no more.
+    """
+    line = words.select(*key, "start", "end", "value", F.lit(False).alias("is_span")).unionByName(spans.select(*key, "start", "end", F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_span")))
+    # in both orders a span comes before the words that start where it does
+    before = Window.partitionBy(*key).orderBy("start", F.desc("is_span")).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("is_span")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = line.withColumn("_end", F.max(F.when(F.col("is_span"), F.col("end"))).over(before)).withColumn("_start", F.min(F.when(F.col("is_span"), F.col("start"))).over(after))
+    free = ~F.col("is_span") & (F.coalesce("_end", F.lit(0)) <= F.col("start")) & (F.col("_start").isNull() | (F.col("_start") >= F.col("end")))
+    return seen.where(free).select(*key, "start", "end", "value")
+
+
+def classes(held: DataFrame, what: str) -> DataFrame:
+    """what, class, df: those of the same set of rows have one class. held: distinct what, row."""
+    of = held.groupBy(what).agg(F.count("*").alias("df"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_x"))
+    return of.select(what, "df", F.concat_ws(":", F.col("df").cast("string"), F.col("_s").cast("string"), F.col("_x").cast("string")).alias("class"))
+
+
+def disclosing(protected: DataFrame, words: DataFrame, docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
+    """term: those over the threshold. protected: row, entity; words: row, term, both distinct."""
+    words = materialise(words, "words")
+    entities = classes(protected, "entity").where(F.col("df") >= s.support)
+    least = 2.0**-s.left_bits
+    near = classes(words, "term").where(F.col("df") >= s.support)
+    # a term's documents are at least those with an entity; count the others for terms that may pass
+    wanted = materialise(near, "terms")
+    every = docs.select(F.explode(terms_of(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    every = every.join(broadcast_if_small(wanted.select("term"), 96), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
+    # the classes of terms that are in the same documents and in as many others
+    passing = wanted.join(every, "term").where(F.col("df") >= least * F.col("df_term"))
+    passing = materialise(passing.select("term", F.concat_ws("/", "class", F.col("df_term").cast("string")).alias("class"), "df_term"), "terms")
+    first = passing.groupBy("class").agg(F.min("term").alias("term"), F.first("df_term").alias("df_term"))
+    in_rows = words.join(first, "term").select("row", F.col("class").alias("term_class"), "df_term")
+    of_entity = entities.groupBy("class").agg(F.min("entity").alias("entity"), F.first("df").alias("df_entity"))
+    held = protected.join(of_entity, "entity").select("row", F.col("class").alias("entity_class"), "df_entity")
+    joint = in_rows.join(held, "row").groupBy("term_class", "entity_class", "df_term", "df_entity").agg(F.count("*").alias("joint"))
+    n = F.lit(float(max(docs.count(), 1)))
+    told = F.log2(n) + F.log2("joint") - F.log2("df_term") - F.log2("df_entity")
+    over = joint.where((F.col("joint") >= s.support) & (F.col("joint") >= least * F.col("df_term")) & (told >= s.told_bits))
+    return passing.join(over.select(F.col("term_class").alias("class")).distinct(), "class").select("term").distinct()
 
 
 def find(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, text_hash, base and spans, arrays of struct<start, kind, end>.
 
-    Kinds are numbers into KINDS; 4 is a disclosing term. spans has the base ones too.
+    Kinds are numbers into ALL_KINDS; base has the first four, spans those and the method's.
     """
+    held = materialise(read(docs, id_col, text_col), "matches")  # from here on row is fixed
+    some = held.where(F.size("found") > 0)
+    checked = placed(some, "found", ("row",)).where(valid(F.col("kind"), F.col("value")))
+    name = F.when(F.col("kind") == 0, F.lower("value")).when(F.col("kind") == SECRET, secret_of(F.col("value"))).otherwise(digits(F.col("value")))
+    spans = materialise(checked.select("row", "kind", "start", "end", F.concat_ws(":", F.col("kind").cast("string"), name).alias("entity")), "entities")
+    protected = spans.select("row", "entity").distinct()
+    holding = broadcast_if_small(spans.select("row").distinct(), 16)
+    texts = some.join(holding, "row", "left_semi").select("row", matches(F.col("_t"), TERM_KIND, TERM).alias("found"))
+    words = apart(placed(texts, "found", ("row",)), spans, ("row",)).select("row", F.lower("value").alias("term")).distinct()
+    telling = materialise(disclosing(protected, words, docs, s, text_col), "telling")
+    # every occurrence, in any text: first the documents that have one, then the places in those
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("_t"))
-    found = base_spans(plain)
-    found = found.withColumn("_t", F.when(F.size("base") > 0, F.col("_t")).otherwise("")).withColumn("row", F.monotonically_increasing_id())
-    holding = materialise(found, "spans")  # from here on row is fixed
-    near = materialise(contexts(holding, s), "contexts")
-    pairs = disclosing(near, plain.select("_t"), s)
-    extra = (
-        near.join(pairs, ["term", "entity"])
-        .select("id", "text_hash", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("x"))
-        .distinct()
-        .groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.collect_list("x").alias("_extra"))
-    )
-    slim = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    rows = holding.select("id", "text_hash", slim.alias("base"))
-    rows = rows.join(extra, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    spans = F.when(F.col("_extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "_extra")))
-    return rows.select(F.col("id").alias(id_col), "text_hash", "base", spans.alias("spans"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("_t"))
+    terms = broadcast_if_small(telling, 96)
+    having = own.select("id", "text_hash", F.explode(terms_of(F.col("_t"))).alias("term")).join(terms, "term", "left_semi")
+    having = materialise(having.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "having")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts = held.select("row", "id", "text_hash").join(having, same, "left_semi")
+    one = texts.groupBy("id", "text_hash").agg(F.min("row").alias("row"))  # of rows that agree, one
+    one = one.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
+    read_again = own.join(broadcast_if_small(one, 32), same).dropDuplicates(["row"]).select("row", matches(F.col("_t"), TERM_KIND, TERM).alias("found"))
+    extra = placed(read_again, "found", ("row",)).withColumn("term", F.lower("value")).join(terms, "term", "left_semi")
+    extra = apart(extra, spans, ("row",))
+    every = spans.select("row", "start", "kind", "end").unionByName(extra.select("row", "start", F.lit(TERM_KIND).alias("kind"), "end"))
+    listed_ = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    # rows that agree share the places found in the one of least number
+    alike = held.select("row", "id", "text_hash").join(one.withColumnRenamed("row", "of"), same, "left").select("row", "id", "text_hash", F.coalesce("of", "row").alias("of"))
+    found = alike.join(listed_.withColumnRenamed("row", "of"), "of", "left")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    found = found.withColumn("spans", F.coalesce("spans", none))
+    return found.select(F.col("id").alias(id_col), "text_hash", F.filter("spans", lambda x: x["kind"] < len(KINDS)).alias("base"), "spans")
 
 
 def listed(spans: str | Column) -> Column:
     """kind:start:end of each span, joined by commas."""
-    names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col rewritten: base spans become <kind>, disclosing terms go."""
-    marked = found.where(F.size("spans") > 0).select(F.col(id_col).alias("__pii_id"), F.col("text_hash").alias("__pii_hash"), F.col("spans").alias("__pii_spans")).distinct()
-    marked = broadcast_if_small(marked, 256)
+    """docs with text_col rewritten: base spans and secrets become <kind>, disclosing terms go.
+
+    Texts are cut from parts of PART code points, so a long text isn't read anew for each span.
+    """
+    keys = ("__pii_id", "__pii_hash")
+    some = found.where(F.size("spans") > 0).select(F.col(id_col).alias(keys[0]), F.col("text_hash").alias(keys[1]), "spans").dropDuplicates(list(keys))
+    before = Window.partitionBy(*keys).orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    each = some.select(*keys, F.inline("spans")).withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    kept = F.when(F.col("start") >= F.col("at"), F.struct("start", "at", "kind"))  # else within what is gone already
+    marked = each.groupBy(*keys).agg(F.sort_array(F.collect_list(kept)).alias("__pii_spans"), F.max("end").alias("__pii_last"))
+    marked = materialise(marked, "marked")
+    most = marked.agg(F.sum(F.size("__pii_spans") * 40 + 64).alias("b")).first()["b"] or 0
+    marked = F.broadcast(marked) if most <= 32 << 20 else marked
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__pii_own", F.xxhash64(text)).join(marked, F.col(id_col).eqNullSafe(F.col("__pii_id")) & (F.col("__pii_own") == F.col("__pii_hash")), "left")
-    tags = F.array(*[F.lit(t) for t in (*(f"<{k}>" for k in KINDS), "")])
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        passed = x["start"] < acc["at"]
-        kept = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(passed, acc["out"]).otherwise(F.concat(acc["out"], kept, F.get(tags, x["kind"]))).alias("out"))
-
-    tail = lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col)))
-    changed = F.when(F.col("__pii_spans").isNotNull(), F.aggregate("__pii_spans", none, step, tail)).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, changed).select(*docs.columns)
+    rows = docs.withColumn("__pii_own", F.xxhash64(text)).join(marked, F.col(id_col).eqNullSafe(F.col(keys[0])) & (F.col("__pii_own") == F.col(keys[1])), "left")
+    rows = rows.withColumn("__pii_parts", F.when(F.col("__pii_spans").isNotNull(), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))))
+    tags = F.array(*[F.lit(t) for t in (*(f"<{k}>" for k in ALL_KINDS[:TERM_KIND]), "")])
+
+    def piece(a: Column, b: Column) -> Column:
+        """Characters [a, b) of the text."""
+        first, last = F.floor(a / PART).cast("int"), F.floor((b - 1) / PART).cast("int")
+        cut = F.array_join(F.slice("__pii_parts", first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(cut, a % PART + 1, b - a)).otherwise("")
+
+    parts = F.transform("__pii_spans", lambda x: F.concat(piece(x["at"], x["start"]), F.get(tags, x["kind"])))
+    changed = F.concat(F.array_join(parts, ""), piece(F.col("__pii_last"), F.length(text_col)))
+    return rows.withColumn(text_col, F.when(F.col("__pii_spans").isNotNull(), changed).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
