@@ -3,8 +3,11 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import tracemalloc
 
-from quadrel.llm import html_text
+import duckdb
+
+from quadrel.llm import html_text, queries
 
 from .cases import empty
 
@@ -59,6 +62,72 @@ def test_cut_is_minimal():
         assert abs(energy(value, edges, html_text.minimum_cut(value, edges)) - best) < 1e-6
 
 
+def test_pages_without_marks_are_kept():
+    assert html_text.main_text("<body><p>Short plain page.</p><p>Second line here.</p></body>") == "Short plain page.\nSecond line here."
+    assert html_text.main_text("one<p>two<p>three four") == "one\ntwo\nthree four"
+    assert html_text.main_text("<form><p>Some plain text in it.</p><p>And more text here too.</p></form>") == "Some plain text in it.\nAnd more text here too."
+    assert html_text.main_text("<article>Word</article><nav><a href=x>a</a></nav><footer>(c) me</footer>") == "Word"
+    assert html_text.main_text("<nav><a href=x>a</a></nav><footer>(c) me</footer>") == ""
+
+
+def test_no_name_decides_alone():
+    bar = "<div class=sidebar><p>A long enough text beside it, of very many words, that looks like prose in every way.</p></div>"
+    assert html_text.main_text(f'<div class="layout has-sidebar"><article><p>Hello.</p></article>{bar}</div>') == "Hello."
+    assert html_text.main_text(f'<div class="newsletter"><article><p>Hello there.</p><p>More</p></article></div>{bar}') == "Hello there.\nMore"
+    links = "".join(f"<p><a href=x>Link {i}</a></p>" for i in range(8))
+    prose = "<p>A sentence of the article that is long enough to be told from others.</p>"
+    assert html_text.main_text(f"<article>{prose}<p><a href=x>Only one</a></p>{prose}</article>").count("\n") == 2
+    assert html_text.main_text(f"<article>{prose}{links}</article>").count("\n") == 0
+    assert html_text.main_text(f"<article>{prose}<p>x <math><mi>y</mi></math> z</p></article>").endswith("x y z")
+
+
+def plainly(page: str) -> str:
+    """The labels by trying all of them on the page's graph."""
+    blocks, around, marks = html_text.blocks_of(page)
+    value, edges = html_text.graph_of(blocks, around, marks)
+    best = min(itertools.product((False, True), repeat=len(value)), key=lambda keep: energy(value, edges, keep))
+    return "\n".join(b.text for b, k in zip(blocks, best) if k)
+
+
+def test_extraction_equals_brute_force():
+    """Small random pages: every labelling of blocks and containers is tried."""
+    rng = random.Random(3)
+    texts = ["Short.", "A sentence of some eight or nine words here.", "word", "<a href=x>link</a>", "a <a href=x>b c</a>", "Long prose " * 12 + "end."]
+    opens = ["<div>", "<div class=ad>", "<article>", "<section id=comments>", "<div class=content>", "<nav>", "<ul>", "<h2>"]
+    differ = 0
+    for _ in range(120):
+        page, depth = "", 0
+        for _ in range(rng.randint(1, 5)):
+            if rng.random() < 0.6:
+                page += rng.choice(opens)
+                depth += 1
+            page += f"<p>{rng.choice(texts)}</p>"
+            if depth and rng.random() < 0.5:
+                page += rng.choice(["</div>", "</article>", "</section>", "</nav>", "</ul>", "</h2>"])
+        assert html_text.main_text(page) == plainly(page), page
+        blocks, around, marks = html_text.blocks_of(page)
+        value, edges = html_text.graph_of(blocks, around, marks)
+        differ += any((v > 0) != k for v, k in zip(value[: len(blocks)], html_text.minimum_cut(value, edges)))
+    assert differ > 20  # the cut decides, not the classifier alone
+
+
+def test_query_over_all_pages(spark):
+    rows = queries.op5_html_text(spark, "/root/testdata/sf0.001").collect()
+    held = duckdb.execute("SELECT page_id, url, html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    want = {(i, u, html_text.main_text(h), len(html_text.main_text(h))) for i, u, h in held}
+    assert len(rows) == len(held) and {tuple(r) for r in rows} == want
+
+
+def test_deep_pages_take_time_and_memory_in_proportion():
+    for part in ("<div>text", "<div>text</p>", "<option>x", '<div class="ad">text.<div class="post">more.'):
+        began = time.time()
+        tracemalloc.start()
+        html_text.main_text(part * 60_000)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400e6 and time.time() - began < 60, part
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, k string")
     rows = {(r["page_id"], r["url"], r["text"]) for r in html_text.extract(pages).collect()}
