@@ -6,8 +6,10 @@ join is a merge (a binary search of token starts, and ends, among section starts
 crosses a boundary goes whole to one section: rule "first", the one that holds its first character,
 or "last", the one that holds its last. So the counts of a document's sections add up to its tokens.
 
-Edge cases: a null text counts as empty; an empty text is one empty section without tokens; repeated
-rows give repeated results; an empty table gives none; other columns are ignored.
+Edge cases: a null text counts as empty; an empty text is one empty section without tokens; the string
+of a special token in a text is that token, as in the library; repeated rows give repeated results; a
+text of any length is encoded whole; an empty table gives none; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -8,10 +8,13 @@ histogram; the counts are rounded down, and what is left is packed greedily, lon
 gap taking the largest length that fits. The plan is a list of (length, range of ranks) ->
 (sequences, offset). Pieces get their rank among those of equal length in two steps, within salted
 shares and by the shares' counts, so that a length that a third of all pieces have is still dealt
-over many tasks. The plan is bounded by the window, and joined by broadcast.
+over many tasks. The plan is joined by length and bucket of ranks, the buckets of a length being as
+wide as its ranges are on average: over all pieces that is about two ranges tried for each. Its size
+hangs on the window alone; it is broadcast below a bound, and joined by shuffle beyond it.
 
-Edge cases: a null or empty text has the end id alone; repeated rows are packed each; an empty
-table gives no pieces; a null id is kept; columns other than those named are ignored.
+Edge cases: a null or empty text has the end id alone; the string of a special token in a text is that
+token, as in the library; repeated rows are packed each; a text of any length is read whole; an empty
+table gives no pieces; a null id is kept; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from .bpe import id_field
 from .common import FLUSH_BYTES, give_back, materialise, slices
 from .tokens import piece_tokenizer
 
+#: A plan of more bytes is joined by shuffle.
+PLAN_BYTES = 64 << 20
+
 
 def cut(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: id_col, start, length, doc_tokens long, ids binary (little-endian unsigned 32-bit)."""
@@ -148,6 +154,22 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[int, int, int, in
     return rows
 
 
+def bucketed(rows: list[tuple[int, int, int, int, int]]) -> tuple[pa.Table, pa.Table]:
+    """The plan with a row for each bucket of ranks that a range meets, and the buckets' width by length."""
+    held = np.array(rows, np.int64).reshape(-1, 5)
+    length, first, count, sequence, offset = held.T
+    of, where, ranges = np.unique(length, return_inverse=True, return_counts=True)
+    pieces = np.bincount(where, count, len(of)).astype(np.int64)
+    width = np.maximum(1, pieces // ranges)
+    low, high = first // width[where], (first + count - 1) // width[where]
+    times = high - low + 1
+    at = np.repeat(np.arange(len(held)), times)
+    bucket = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    names = ["_length", "_first", "_count", "_sequence", "_offset", "_bucket"]
+    columns = [length[at], first[at], count[at], sequence[at], offset[at], bucket]
+    return pa.table([pa.array(c.astype(np.int64)) for c in columns], names), pa.table([pa.array(of), pa.array(width)], ["_of", "_width"])
+
+
 def assign(pieces: DataFrame, window: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """pieces (id_col, start, length and any payload) with sequence_id, offset long.
 
@@ -158,8 +180,10 @@ def assign(pieces: DataFrame, window: int = 2048, id_col: str = "doc_id") -> Dat
     salted = pieces.withColumn("_share", F.pmod(F.xxhash64(id_col, "start"), F.lit(shares)))
     counts = salted.groupBy("length", "_share").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    schema = "_length long, _first long, _count long, _sequence long, _offset long"
-    dealt = F.broadcast(spark.createDataFrame(plan(histogram, window), schema))
+    dealt, widths = bucketed(plan(histogram, window))
+    small = dealt.nbytes <= PLAN_BYTES
+    dealt, widths = spark.createDataFrame(dealt), F.broadcast(spark.createDataFrame(widths))  # widths: a row for each length
+    dealt = F.broadcast(dealt) if small else dealt
     before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inner = Window.partitionBy("length", "_share").orderBy(id_col, "start")
@@ -168,7 +192,9 @@ def assign(pieces: DataFrame, window: int = 2048, id_col: str = "doc_id") -> Dat
         .join(offsets, ["length", "_share"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
     )
-    placed = ranked.join(dealt, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count")))
+    ranked = ranked.join(widths, F.col("length") == F.col("_of")).withColumn("_own", F.floor(F.col("_rank") / F.col("_width")))
+    here = (F.col("length") == F.col("_length")) & (F.col("_own") == F.col("_bucket"))
+    placed = ranked.join(dealt, here & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count")))
     return placed.select(*pieces.columns, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 

@@ -1,8 +1,13 @@
-"""A tokenizer file of the tokenizers library, applied piece by piece with a bounded memory of pieces."""
+"""A tokenizer file of the tokenizers library, applied piece by piece with a bounded memory of pieces.
+
+As in the library by default, the string of a special token in a text is that token, and what lies
+before and after it is split on its own.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +27,10 @@ class PieceTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path} has added tokens that take in what is around them")
+        self.added = {t.content: i for i, t in added.items()}
         self.spans = spans
         self.model = self.tokenizer.model
         if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
@@ -38,6 +46,9 @@ class PieceTokens(dict):
 
     def __missing__(self, piece: str):
         """The model merges the piece's bytes; splitting is done, and nothing else is left to do."""
+        if piece in self.added:
+            packed = np.array([self.added[piece]], np.uint32).tobytes()
+            return (packed, np.array([0, len(piece)], np.int32).tobytes()) if self.spans else packed
         made = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
         packed = np.array([t.id for t in made], np.uint32).tobytes()
         entry = packed
@@ -64,7 +75,16 @@ class PieceTokenizer:
 
     def __init__(self, path: str, pattern: str, spans: bool = False):
         self.known = PieceTokens(path, spans)
-        self.pieces = Splitter(pattern, self.known.whole)
+        self.split = Splitter(pattern, self.known.whole)
+        named = sorted(self.known.added, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, named)) + ")").split if named else None
+        self.first = os.path.commonprefix(named)
+
+    def pieces(self, text: str) -> list[str]:
+        if self.special is None or self.first not in text:
+            return self.split(text)
+        parts = self.special(text)  # an added token at each odd place
+        return [x for i, part in enumerate(parts) for x in ((part,) if i % 2 else self.split(part))]
 
     def ids(self, text: str | None) -> bytes:
         """Packed unsigned 32-bit ids."""

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from quadrel.llm import bpe, counts, packing
 from quadrel.llm.queries import PATTERN, RANKS, TOKENIZER, digest
+from quadrel.llm.tokens import PieceTokenizer
 
 from .cases import edge_docs, edge_texts, empty, prose
 
@@ -23,9 +24,7 @@ def library():
 
 
 def tokenizer():
-    made = Tokenizer.from_file(TOKENIZER)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(TOKENIZER)  # as it comes: a special token's string is that token
 
 
 def noise(n: int) -> list[str]:
@@ -79,6 +78,18 @@ def test_encode_and_decode_tables(spark):
     assert bpe.encode(empty(docs), RANKS, PATTERN).count() == 0
 
 
+def test_ids_and_spans_equal_the_library():
+    theirs, own = tokenizer(), PieceTokenizer(TOKENIZER, PATTERN, True)
+    mark = "<|endoftext|>"
+    texts = [*noise(1500), *map(lambda t: t or "", edge_texts()), f"a {mark} b", mark, mark * 3, f" {mark}\n\n {mark} é", f"<|{mark}|>", "<|endoftext", f"x  {mark}  y"]
+    texts += [t[: len(t) // 2] + mark + t[len(t) // 2 :] for t in noise(300)]
+    for text in texts:
+        want = theirs.encode(text, add_special_tokens=False)
+        ids, a, b = own.ids_and_spans(text)
+        assert ids.tolist() == want.ids, text
+        assert list(zip(a.tolist(), b.tolist())) == want.offsets or not text.isascii(), text
+
+
 def check_packing(pieces, texts, window):
     theirs = tokenizer()
     ids = {k: np.array([*theirs.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in texts.items()}
@@ -130,21 +141,44 @@ def test_plan_uses_each_piece_once():
                 at += n
 
 
+def test_buckets_hold_every_rank_once_and_few_ranges():
+    rng = random.Random(2)
+    histogram = {i: rng.choice([0, 1, 3, 40, 5000]) for i in range(1, 257)}
+    rows = packing.plan(histogram, 256)
+    dealt, widths = packing.bucketed(rows)
+    width = dict(zip(*[c.to_pylist() for c in widths.columns]))
+    assert dealt.num_rows <= 3 * len(rows) + len(width)
+    found, tried = {}, 0
+    for r in dealt.to_pylist():
+        w = width[r["_length"]]
+        low, high = max(r["_first"], r["_bucket"] * w), min(r["_first"] + r["_count"], (r["_bucket"] + 1) * w)
+        found[r["_length"]] = found.get(r["_length"], 0) + high - low
+        tried += w
+        assert low < high
+    assert found == {k: n for k, n in histogram.items() if n}
+    assert tried <= 3 * sum(histogram.values()) + len(rows)
+    empty_plan, no_widths = packing.bucketed([])
+    assert empty_plan.num_rows == no_widths.num_rows == 0
+
+
 def test_section_counts(spark):
     docs = edge_docs(spark)
     theirs = tokenizer()
-    want = []
+    want, want_last = [], []
     for r in docs.collect():
         text = r["text"] or ""
         line = np.cumsum([0] + [c == "\n" for c in text])
         n = np.zeros(text.count("\n") + 1, int)
-        for a, _ in theirs.encode(text, add_special_tokens=False).offsets:
+        m = n.copy()
+        for a, b in theirs.encode(text, add_special_tokens=False).offsets:
             n[line[a]] += 1
+            m[line[max(a, b - 1)]] += 1
+        want_last += [(r["doc_id"] or -1, i, int(v)) for i, v in enumerate(m)]
         want += [(r["doc_id"] or -1, i, int(v)) for i, v in enumerate(n)]
     made = counts.count_sections(docs, TOKENIZER, PATTERN).collect()
     assert sorted((r["doc_id"] or -1, r["section"], r["n_tokens"]) for r in made) == sorted(want)
     last = counts.count_sections(docs, TOKENIZER, PATTERN, "last").collect()
-    assert sum(r["n_tokens"] for r in last) == sum(r["n_tokens"] for r in made)
+    assert sorted((r["doc_id"] or -1, r["section"], r["n_tokens"]) for r in last) == sorted(want_last)
     assert counts.count_sections(empty(docs), TOKENIZER, PATTERN).count() == 0
 
 
