@@ -10,8 +10,9 @@ the layer is linear, a feature's part of the logit is one number: executors get
 
 Edge cases: null and empty texts have no features and get the bias's probability; without labelled
 rows every score is 0.5; a label other than 0 and 1 or null is no label; repeated rows score alike;
-a labelled id that documents repeat is learned once for each such row; an empty table gives an empty
-result; columns other than those named are ignored.
+a labelled id that documents repeat is learned by one of their texts, so the sample bounds the rows
+too; a text of any length is read whole; an empty table gives an empty result; columns other than
+those named are ignored, or kept by passing, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def examples(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id
     """(buckets, counts, label) of the sample, in a fixed order; words are hashed on the executors."""
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     chosen = own.orderBy(F.xxhash64("k"), "k").limit(s.sample)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")  # `sample` ids at most
+    rows = rows.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
 
     def run(batches):
         for batch in batches:

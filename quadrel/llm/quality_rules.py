@@ -7,32 +7,34 @@ by `alpha` a bucket. A document's score is the sum of log(trusted / all) over it
 by their number; it stays if that is at least `threshold`. The logarithms are rounded to 2**-20 and
 summed as whole numbers, so the order of a sum can't change a verdict.
 
-Everything is DataFrame functions. The counts shrink to one row a bucket before their shuffle; what
-the driver holds and sends is `buckets` numbers, whatever the input. Trusted ids are broadcast only
-below a counted size, and joined by shuffle beyond it.
+Everything is DataFrame functions. Features are exploded, one narrow row each, and counted by bucket
+before their shuffle; the weights are a table of at most `buckets` rows that the features are joined
+with, broadcast as that bounds it, and a document's sum is formed before its shuffle too. So the
+driver holds nothing of the corpus. Ids are broadcast only below a measured size, and joined by
+shuffle beyond it.
 
 Edge cases: a null text has no words and no lines; fewer than ten words fail the base rules; without
-any trusted text no ratio is known, and the base rules alone decide; a trusted id that several rows
-share makes each of them trusted; repeated rows get the same result each; an empty table gives an
-empty result; columns other than those named are ignored.
+any trusted text no ratio is known, and the base rules alone decide; a text without tokens has the
+ratio 0; a trusted id that several rows share makes each of them trusted; repeated rows get the same
+result each; a text of any length is read whole, its words being one array; an empty table gives an
+empty result; columns other than those named are kept by passing and ignored else, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, materialise
 
 SPACE, SCALE = r"[ \t-\r]+", 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 1 << 14
+    buckets: int = 1 << 16
     alpha: float = 1.0
     threshold: float = -0.2
 
@@ -58,14 +60,15 @@ def mixed(a: Column, b: Column, k: int) -> Column:
 def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
     """rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; t: no nulls.
 
-    A window is known by 64 bits mixed from its words' hashes: twos, then fours, then fives. Only
-    texts in which such a number occurs twice sort them to find where.
+    Equal windows have equal numbers of 64 bits, mixed from their words' hashes: twos, then fours,
+    then fives. So only texts in which a number occurs twice can hold a window twice; those are
+    searched by the windows' words themselves.
     """
     paired = lambda array, other, k: F.zip_with(array, following(other, k), lambda a, b: mixed(a, b, k))
     windows = F.when(F.size("_words") > 5, F.slice(paired("_fours", "_hashes", 4), F.lit(1), F.size("_words") - 4))
     keyed = F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.arrays_zip(F.col("_windows").alias("k"), F.sequence(F.lit(0), F.size("_windows") - 1).alias("p"))),
+        F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_windows") - 1), lambda p: F.struct(F.array_join(F.slice("_words", p + 1, F.lit(5)), " ").alias("k"), p.alias("p")))),
     )
     same = lambda x, j: F.coalesce(F.get("_keyed", j)["k"] == x["k"], F.lit(False))
     twice = F.sort_array(F.transform(F.filter("_keyed", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"]))
@@ -100,60 +103,60 @@ def tokens_of(t: str) -> Column:
     return F.regexp_extract_all(F.col(t), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """log(trusted / all) of each bucket in units of 1 / SCALE; trusted: a table of ids."""
+def features(rows: DataFrame, s: Settings, t: str, *keys: str) -> DataFrame:
+    """keys, bucket: a row for each token and each pair of neighbours; hashed in generated code."""
+    lists = rows.select(*keys, tokens_of(t).alias("_tokens"))
+    seen = lists.select(*keys, F.inline(F.arrays_zip(F.col("_tokens").alias("a"), following("_tokens", 1).alias("b"))))
+    both = F.array(F.xxhash64("a"), F.when(F.col("b").isNotNull(), mixed(F.xxhash64("a"), F.xxhash64("b"), 1)))
+    return seen.select(*keys, F.explode(both).alias("x")).where("x is not null").select(*keys, F.pmod("x", F.lit(s.buckets)).cast("int").alias("bucket"))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bucket, weight: log(trusted / all) in units of 1 / SCALE, of each bucket that documents have.
+
+    trusted: a table of ids. Without a feature in trusted texts all weights are 0.
+    """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(broadcast_if_small(ids, 16), "_id", "left")
-    lists = rows.select(tokens_of("_t").alias("_tokens"), F.coalesce("_trusted", F.lit(0)).alias("own"))
-    # a row for each token and its neighbour: hashed in generated code, unlike an array's elements
-    seen = lists.select("own", F.inline(F.arrays_zip(F.col("_tokens").alias("a"), following("_tokens", 1).alias("b"))))
-    both = F.array(F.xxhash64("a"), F.when(F.col("b").isNotNull(), mixed(F.xxhash64("a"), F.xxhash64("b"), 1)))
-    seen = seen.select("own", F.explode(both).alias("x")).where("x is not null")
-    bucket = F.pmod("x", F.lit(s.buckets)).alias("bucket")
-    counted = seen.groupBy(bucket).agg(F.count("*").alias("n"), F.sum("own").alias("own")).collect()  # at most `buckets` rows
-    raw, own = np.zeros(s.buckets), np.zeros(s.buckets)
-    for r in counted:
-        raw[r["bucket"]], own[r["bucket"]] = r["n"], r["own"]
-    if not own.sum():
-        return np.zeros(s.buckets, np.int64)
-    share = lambda n: np.log(n + s.alpha) - np.log(n.sum() + s.alpha * s.buckets)
-    return np.rint((share(own) - share(raw)) * SCALE).astype(np.int64)
-
-
-def ratio(rows: DataFrame, weights: np.ndarray, s: Settings, t: str = "_t") -> DataFrame:
-    """rows with llr double: the mean weight of the features, 0 without any."""
-    held = F.lit(weights)
-    pairs = F.zip_with(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 1, F.lit(0))), following("_h", 1), lambda a, b: mixed(a, b, 1))
-    total = F.aggregate("_features", F.lit(0).cast("long"), lambda a, x: a + F.get(held, F.pmod(x, F.lit(s.buckets)).cast("int")))
-    found = (
-        rows.withColumn("_h", F.transform(tokens_of(t), lambda w: F.xxhash64(w)))
-        .withColumn("_features", F.concat("_h", pairs))
-        .withColumn("_sum", total)
-        .withColumn("_n", F.size("_features"))
-    )
-    return found.withColumn("llr", F.when(F.col("_n") > 0, F.col("_sum") / (F.col("_n") * F.lit(float(SCALE)))).otherwise(0.0)).drop("_h", "_features", "_sum", "_n")
+    rows = rows.select("_t", F.coalesce("_trusted", F.lit(0)).alias("own"))
+    counted = materialise(features(rows, s, "_t", "own").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("own")), "buckets")
+    total = counted.agg(F.sum("n").alias("n"), F.sum("own").alias("own")).first()
+    n, own = total["n"] or 0, total["own"] or 0
+    share = lambda c, all_: F.log(F.col(c) + F.lit(s.alpha)) - F.log(F.lit(all_ + s.alpha * s.buckets))
+    weight = F.rint((share("own", own) - share("n", n)) * SCALE).cast("long") if own else F.lit(0).cast("long")
+    return counted.select("bucket", weight.alias("weight"))
 
 
-def judged(docs: DataFrame, trusted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """_row (all of docs' columns), the base counts, base_failed, llr and kept."""
-    weights = fit(docs, trusted, s, id_col, text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of(text_col).alias("_t"))
-    # always true, but not foldable: keeps a filter on kept above these columns, which it would else
-    # be merged with, so that each is computed again wherever another refers to it
-    here = F.monotonically_increasing_id() >= 0
-    counted = ratio(base_counts(rows), weights, s).drop("_t")
-    return counted.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold) & here)
+def ratios(docs: DataFrame, trusted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """_id, _hash (of the text), llr: the mean weight of each document's features, if it has any."""
+    weights = F.broadcast(fit(docs, trusted, s, id_col, text_col))  # at most `buckets` rows
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_hash", F.xxhash64("_t"))
+    # rows that agree in id and text are one group here, with twice the sum and twice the number
+    summed = features(rows, s, "_t", "_id", "_hash").join(weights, "bucket").groupBy("_id", "_hash").agg(F.sum("weight").alias("_sum"), F.count("*").alias("_n"))
+    return summed.select("_id", "_hash", (F.col("_sum") / (F.col("_n") * F.lit(float(SCALE)))).alias("llr"))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with COUNTS, which replace columns of those names."""
-    own = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in COUNTS]
-    return judged(docs, trusted, s, id_col, text_col).select(*own, *COUNTS)
+    """id_col and COUNTS of each row of docs."""
+    rows = docs.select(F.col(id_col).alias("_own"), text_of(text_col).alias("_t"))
+    counted = base_counts(rows).withColumn("_text", F.xxhash64("_t")).drop("_t")
+    found = ratios(docs, trusted, s, id_col, text_col)
+    joined = counted.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
+    llr = F.coalesce("llr", F.lit(0.0))
+    return joined.withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold)).select(F.col("_own").alias(id_col), *COUNTS)
 
 
 def passing(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with docs' columns as they were."""
-    return judged(docs, trusted, s, id_col, text_col).where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    found = ratios(docs, trusted, s, id_col, text_col)
+    low = materialise(found.where(F.col("llr") < s.threshold).select("_id", "_hash"), "low")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"), text_of(text_col).alias("_t"))
+    # always true, but not foldable: keeps the filter above these columns, which it would else be
+    # merged with, so that each is computed again wherever another refers to it
+    here = F.monotonically_increasing_id() >= 0
+    counted = base_counts(rows).withColumn("_ok", ~F.col("base_failed") & here).where("_ok").select("_row", "_own", F.xxhash64("_t").alias("_text"))
+    left = counted.join(broadcast_if_small(low, 24), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

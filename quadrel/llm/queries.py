@@ -29,8 +29,7 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality_rules.judge(docs, trusted(table(spark, sf_dir, "labels")))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 

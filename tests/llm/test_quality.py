@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -84,6 +85,28 @@ def test_rules_run_no_python(corpus):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_repeated_windows_are_those_of_equal_words(spark):
+    """Texts of few words, in which windows repeat, touch and overlap."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab" if i % 2 else "abcdef") for _ in range(rng.randint(0, 40))) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.judge(docs, docs.select("doc_id")).collect()}
+    assert got == {i: base(t)[4] for i, t in enumerate(texts)}
+
+
+def test_passing_is_what_judge_keeps(corpus):
+    texts, docs, trusted = corpus
+    both = docs.unionByName(docs.limit(3))
+    kept = sorted(r["doc_id"] for r in quality_rules.judge(both, trusted).where("kept").collect())
+    assert kept == sorted(r["doc_id"] for r in quality_rules.passing(both, trusted).collect()) and len(kept) > 40
+
+
+def test_an_id_of_many_rows_is_learned_once(spark):
+    docs = spark.createDataFrame([(1, prose(i)) for i in range(50)] + [(2, prose(99))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(classifier.examples(docs, labels, "quality", classifier.Settings())) == 2
+
+
 def test_classifier_learns_and_scores(spark):
     bad = [re.sub(r"(\w+)", r"\1&&", prose(i)) for i in range(150)] + [" ".join(w for w in prose(i, 20).split() for _ in range(9)) for i in range(150)]
     texts = [prose(1000 + i) for i in range(300)] + bad

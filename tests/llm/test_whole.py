@@ -11,7 +11,7 @@ from .cases import prose
 
 
 def test_features_and_sample_are_whole():
-    assert quality_rules.Settings().buckets == 1 << 14
+    assert quality_rules.Settings().buckets == 1 << 16
     s = classifier.Settings()
     assert (s.sample, s.epochs) == (4000, 12)
 
