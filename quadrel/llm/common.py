@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Python slice of an Arrow batch: bounds what is held as Python objects at once.
@@ -58,6 +58,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 2
     return F.broadcast(df) if n <= most else df
 
 
+def once(value: Column) -> Column:
+    """The same value, computed before what follows.
+
+    Generated code puts off a column until it is used, so within the loop of an explode it would be
+    computed for each element; one that isn't deterministic, as this looks, is computed at once.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 @contextlib.contextmanager
 def short_batches(spark: SparkSession, rows: int = 1000):
     """Fewer rows in an Arrow batch for what is run inside, as whole texts are sent by pairs."""

@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, materialise, once
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret", "term")
@@ -185,7 +185,7 @@ def find(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("_t"))
     terms = broadcast_if_small(telling, 96)
-    having = own.select("id", "text_hash", F.explode(terms_of(F.col("_t"))).alias("term")).join(terms, "term", "left_semi")
+    having = own.select("id", once(F.col("text_hash")).alias("text_hash"), F.explode(terms_of(F.col("_t"))).alias("term")).join(terms, "term", "left_semi")
     having = materialise(having.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "having")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     texts = held.select("row", "id", "text_hash").join(having, same, "left_semi")

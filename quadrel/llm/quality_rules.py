@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, materialise, once
 
 SPACE, SCALE = r"[ \t-\r]+", 1 << 20
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: s
 def ratios(docs: DataFrame, trusted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """_id, _hash (of the text), llr: the mean weight of each document's features, if it has any."""
     weights = F.broadcast(fit(docs, trusted, s, id_col, text_col))  # at most `buckets` rows
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_hash", F.xxhash64("_t"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).withColumn("_hash", once(F.xxhash64("_t")))
     # rows that agree in id and text are one group here, with twice the sum and twice the number
     summed = features(rows, s, "_t", "_id", "_hash").join(weights, "bucket").groupBy("_id", "_hash").agg(F.sum("weight").alias("_sum"), F.count("*").alias("_n"))
     return summed.select("_id", "_hash", (F.col("_sum") / (F.col("_n") * F.lit(float(SCALE)))).alias("llr"))
@@ -139,24 +139,27 @@ def ratios(docs: DataFrame, trusted: DataFrame, s: Settings, id_col: str, text_c
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and COUNTS of each row of docs."""
+def judged(docs: DataFrame, trusted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """_own (the id), _text (the text's hash) and COUNTS of each row of docs."""
     rows = docs.select(F.col(id_col).alias("_own"), text_of(text_col).alias("_t"))
     counted = base_counts(rows).withColumn("_text", F.xxhash64("_t")).drop("_t")
     found = ratios(docs, trusted, s, id_col, text_col)
     joined = counted.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
-    llr = F.coalesce("llr", F.lit(0.0))
-    return joined.withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold)).select(F.col("_own").alias(id_col), *COUNTS)
+    joined = joined.withColumn("llr", F.coalesce("llr", F.lit(0.0)))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= s.threshold)).select("_own", "_text", *COUNTS)
+
+
+def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and COUNTS of each row of docs."""
+    return judged(docs, trusted, s, id_col, text_col).select(F.col("_own").alias(id_col), *COUNTS)
 
 
 def passing(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with docs' columns as they were."""
-    found = ratios(docs, trusted, s, id_col, text_col)
-    low = materialise(found.where(F.col("llr") < s.threshold).select("_id", "_hash"), "low")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"), text_of(text_col).alias("_t"))
-    # always true, but not foldable: keeps the filter above these columns, which it would else be
-    # merged with, so that each is computed again wherever another refers to it
-    here = F.monotonically_increasing_id() >= 0
-    counted = base_counts(rows).withColumn("_ok", ~F.col("base_failed") & here).where("_ok").select("_row", "_own", F.xxhash64("_t").alias("_text"))
-    left = counted.join(broadcast_if_small(low, 24), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    # all verdicts are written before they are filtered, as Catalyst would else compute the columns they
+    # are made of again wherever one refers to another
+    verdicts = materialise(judged(docs, trusted, s, id_col, text_col).select("_own", "_text", "kept"), "verdicts")
+    gone = verdicts.where(~F.col("kept")).select("_own", "_text").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("__own"), F.xxhash64(text_of(text_col)).alias("__text"))
+    left = rows.join(broadcast_if_small(gone, 24), F.col("__own").eqNullSafe(F.col("_own")) & (F.col("__text") == F.col("_text")), "left_anti")
     return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
