@@ -46,6 +46,8 @@ class Settings:
     chunks: int = 12
     width: int = 6
     block: int = 2_000_000
+    shares: int = 64
+    share_pairs: int = 50_000
     seed: int = 11
 
     @property
@@ -122,29 +124,49 @@ def signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFram
 
 
 def linked(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough, as a, b."""
+    """The pairs (a, b) of ids whose full sets are similar enough, as a, b. pairs: distinct, a table.
+
+    The pairs of one a, however many, are dealt over `shares` tasks and more; its text goes to each of
+    those once, before the texts of its b, not with every pair.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(broadcast_if_small(needed, 16), "id", "left_semi")
-    joined = pairs.join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b").join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
+    texts = texts.join(broadcast_if_small(needed, 24), "id", "left_semi")
+    shares = max(s.shares, -(-pairs.count() // s.share_pairs))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(shares)).cast("int").alias("share"))
+    hubs = dealt.select("a", "share").distinct().join(texts.withColumnRenamed("id", "a"), "a")
+    rows = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "share", F.lit(True).alias("member"), "b", "t")
+    rows = rows.unionByName(hubs.select("a", "share", F.lit(False).alias("member"), F.col("a").alias("b"), "t"))
+    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", "member", "b")
 
     def run(batches):
-        last, held = None, np.empty(0, np.uint64)
+        key, held = None, {}  # the sets of a: one, unless rows of other texts have its id too
         for batch in batches:
-            for as_, bs, tas, tbs in slices(batch, "a", "b", "ta", "tb"):
-                keep = []
-                for ta, tb in zip(tas, tbs):
-                    if ta != last:
-                        last, held = ta, shingles(ta, s.shingle)
-                    other = shingles(tb, s.shingle)
-                    both = len(np.intersect1d(held, other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= s.percent * (len(held) + len(other) - both))
-                kind = batch.schema.field(0).type
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(col, keep) if k], kind) for col in (as_, bs)], ["a", "b"])
+            kind = batch.schema.field(0).type
+            for as_, own_shares, members, bs, texts_ in slices(batch, "a", "share", "member", "b", "t"):
+                found = []
+                for a, share, member, b, text in zip(as_, own_shares, members, bs, texts_):
+                    own = shingles(text, s.shingle)
+                    if (a, share) != key:
+                        key, held = (a, share), {}
+                    if not member:
+                        held.setdefault(own.tobytes(), own)
+                    elif any(similar(x, own, s.percent) for x in held.values()):
+                        found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], kind) for i in range(2)], ["a", "b"])
+        held.clear()
         give_back()
 
     kind = id_field(docs, id_col)
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity, and anything in common."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def settled(dealt: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -155,7 +177,7 @@ def settled(dealt: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_co
     counted at once. Pairs of a component are passed over, and two loose ones meet once.
     """
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t"))
-    texts = texts.join(broadcast_if_small(dealt.select("rep").distinct(), 16), "rep", "left_semi")
+    texts = texts.join(broadcast_if_small(dealt.select("rep").distinct(), 24), "rep", "left_semi")
     rows = dealt.join(texts, "rep").repartition("family", "share").sortWithinPartitions("family", "share", "probe", "rep")
     names = ["family", "share", "probe", "rep", "root", "loose", "t"]
 
@@ -207,11 +229,6 @@ class Block:
         return list(found.values())
 
 
-def _chunk_key(sig: bytes, c: int, d: int, s: Settings) -> bytes:
-    at = 2 * (c * s.width + d)
-    return sig[2 * c * s.width : at] + sig[at + 2 : 2 * (c + 1) * s.width]
-
-
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_shingles long, component_id (the smallest id reachable)."""
     with short_batches(docs.sparkSession):

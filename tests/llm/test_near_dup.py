@@ -10,11 +10,11 @@ from quadrel.llm.components import components
 from .cases import edge_docs, edge_texts, empty, prose
 
 
-def truth(rows):
+def truth(rows, k: int = 2):
     sets, parent = {}, {}
     for key, text in rows:
         words = (text or "").encode().lower().split()
-        own = frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset([tuple(words)]) if words else frozenset()
+        own = frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
         sets.setdefault(key, []).append(own)
         parent[key] = key
 
@@ -87,18 +87,35 @@ def test_edge_rows(spark):
     assert near_dup.near_duplicates(empty(docs)).count() == 0
 
 
-def test_pigeonhole_covers_all_pairs_within_its_distance():
+def test_pigeonhole_covers_all_pairs_within_its_distance(spark):
+    """By the keys that the operator makes: some key of both is the same."""
     s = near_dup.Settings()
     rng = np.random.default_rng(2)
-    for _ in range(300):
+    rows = []
+    for i in range(200):
         a = rng.integers(0, 1 << 16, s.places, dtype=np.uint16)
         b = a.copy()
         b[rng.choice(s.places, 2 * s.chunks - 1, replace=False)] ^= 1
-        wrong = (a != b).reshape(s.chunks, s.width).sum(1)
-        c = int(np.argmin(wrong))
-        assert wrong[c] <= 1
-        d = int(np.argmax((a != b).reshape(s.chunks, s.width)[c]))
-        assert near_dup._chunk_key(a.tobytes(), c, d, s) == near_dup._chunk_key(b.tobytes(), c, d, s)
+        rows += [(2 * i, a.tobytes()), (2 * i + 1, b.tobytes())]
+    made = near_dup._slotted(spark.createDataFrame(rows, "rep long, sig binary"), s).collect()
+    keys = {}
+    for r in made:
+        keys.setdefault(r["rep"], set()).add((r["slot"], r["key"]))
+    assert all(len(k) == s.places for k in keys.values())
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(200))
+
+
+def test_a_hub_is_met_in_shares(spark):
+    """The links of one text with very many others, in more shares than tasks, equal its plain comparison."""
+    hub = prose(5, 150)
+    texts = [hub] + [edited(hub, 0.2 * random.Random(i).random(), i) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 301)], "a long, b long")
+    sets = truth(list(enumerate(texts)))[1]
+    want = {(0, i) for i in range(1, 301) if 100 * len(sets[0][0] & sets[i][0]) >= 80 * len(sets[0][0] | sets[i][0])}
+    for s in (near_dup.Settings(), near_dup.Settings(share_pairs=2)):
+        assert {tuple(r) for r in near_dup.linked(pairs, docs, s, "doc_id", "text").collect()} == want
+    assert 50 < len(want) < 290
 
 
 def test_shingles_are_ascii_lower_and_split_at_ascii_space():
