@@ -6,7 +6,8 @@ of those probabilities, also given by token.
 
 The objective depends on the corpus only by how often each byte occurs in each context, so these
 counts are gathered from all documents, reduced on the map side, and are the training set: all of it,
-whatever its size. They are dealt in shards by hash of the context. In each round every shard trains
+whatever its size. They are dealt in shards by hash of the context, `shards` and more as the counts grow, so that
+a shard has about `shard_rows` of them. In each round every shard trains
 a copy of the network by stochastic gradient descent on its counts, and the copies' steps are
 averaged by the bytes they stand for. Steps are summed as whole numbers per parameter by Spark, so
 the driver gets one number for each parameter and the result doesn't hang on the order of arrival.
@@ -44,6 +45,7 @@ class Settings:
     batch: int = 256
     rate: float = 0.02
     shards: int = 12
+    shard_rows: int = 500_000
     seed: int = 5
 
 
@@ -156,7 +158,7 @@ def chunks(batch, *columns: str):
 
 
 def count(docs: DataFrame, s: Settings, text_col: str = "text") -> DataFrame:
-    """code, n, shard: how often each byte occurs in each context, over all documents."""
+    """code, n: how often each byte occurs in each context, over all documents."""
 
     def run(batches):
         numbers, n = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -172,8 +174,13 @@ def count(docs: DataFrame, s: Settings, text_col: str = "text") -> DataFrame:
         if len(numbers):
             yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(n)], ["code", "n"])
 
-    counted = docs.selectExpr(f"`{text_col}` as t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return counted.withColumn("shard", F.pmod(F.xxhash64(F.expr(f"code div {BASE}")), F.lit(s.shards)).cast("int"))
+    return docs.selectExpr(f"`{text_col}` as t").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def sharded(counted: DataFrame, s: Settings) -> DataFrame:
+    """counted, a table, with the shard of each context."""
+    shards = max(s.shards, -(-counted.count() // s.shard_rows))
+    return counted.withColumn("shard", F.pmod(F.xxhash64(F.expr(f"code div {BASE}")), F.lit(shards)).cast("int"))
 
 
 def shard_step(sent, s: Settings, turn: int):
@@ -191,7 +198,7 @@ def shard_step(sent, s: Settings, turn: int):
 
 def fit(docs: DataFrame, s: Settings = Settings(), text_col: str = "text") -> np.ndarray:
     """The network's parameters, as one line of numbers."""
-    table = materialise(count(docs, s, text_col), "contexts")
+    table = sharded(materialise(count(docs, s, text_col), "contexts"), s)
     spark = docs.sparkSession
     params = flat(initial(s))
     for turn in range(s.rounds):

@@ -32,6 +32,13 @@ def test_counts_cover_every_byte_of_every_document(spark):
     assert lm_score.count(empty(docs), S).count() == 0
 
 
+def test_shards_grow_with_the_counts(spark):
+    s = lm_score.Settings(shards=2, shard_rows=100)
+    counted = spark.range(0, 257 * 1000, 257).selectExpr("id as code", "1L as n")
+    rows = lm_score.sharded(counted, s).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in rows) == 1000 and len(rows) == 10
+
+
 def test_training_and_scores(spark):
     texts = [prose(i, 40) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
