@@ -29,8 +29,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id, and one row of it if several are the same."""
-    return near_dup.kept_rows(docs, near_dup.near_duplicates(docs))
+    """One document of each group by five-word shingles: the smallest id, and one row of it if several are the same."""
+    return near_dup.kept_rows(docs, near_dup.near_duplicates(docs, near_dup.Settings(shingle=5)))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
