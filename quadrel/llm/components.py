@@ -1,5 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
+Edge cases: loops and repeated edges say nothing; nodes without another are in no row; ids may be of any
+type that sorts; a null end links nothing; an empty table gives an empty result.
+
 Nothing but the edge table itself is kept between rounds, written to the shared folder; a node that
 touches a large part of all edges is a skewed join key, which adaptive execution splits, and its
 minimum is pre-aggregated on the map side. The number of rounds grows with the logarithm of the nodes.
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -30,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        own = materialise(small.distinct(), "edges")
+        last, own = own, materialise(small.distinct(), "edges")
+        discard(last)  # a round needs no more than the one before
         now = _fingerprint(own)
         if now == seen:
             break

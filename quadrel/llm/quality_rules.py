@@ -68,7 +68,7 @@ def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
     windows = F.when(F.size("_words") > 5, F.slice(paired("_fours", "_hashes", 4), F.lit(1), F.size("_words") - 4))
     keyed = F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_windows") - 1), lambda p: F.struct(F.array_join(F.slice("_words", p + 1, F.lit(5)), " ").alias("k"), p.alias("p")))),
+        F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_windows") - 1), lambda p: F.struct(F.concat_ws(" ", *[F.get("_words", p + i) for i in range(5)]).alias("k"), p.alias("p")))),
     )
     same = lambda x, j: F.coalesce(F.get("_keyed", j)["k"] == x["k"], F.lit(False))
     twice = F.sort_array(F.transform(F.filter("_keyed", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"]))
