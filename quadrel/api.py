@@ -82,10 +82,8 @@ def study(observations: DataFrame, features: list[str], metrics: list[str], iter
     """feature, metric, n, clusters, rho, lo, hi, verdict."""
     by = ["feature", "metric"]
     rows = studies.pairs(observations, features, metrics)
-    sites = rows.select("site").distinct()
-    sites = sites.withColumn("k", F.row_number().over(Window.orderBy("site")) - 1)  # sites, not rows
-    n = sites.count()
-    ends = studies.bootstrap(rows, studies.draws(sites.withColumn("n", F.lit(n)), iterations, seed), by, iterations)
+    sites = sorted(x["site"] for x in rows.select("site").distinct().collect())  # a dimension, not rows
+    ends = studies.bootstrap(rows, sites, by, iterations, seed=seed)
     return studies.spearman(rows, by).join(ends, by, "left").withColumn("verdict", studies.verdict(F.col("rho"), F.col("lo"), F.col("hi")))
 
 

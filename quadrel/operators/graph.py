@@ -15,11 +15,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quadrel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set("spark.checkpoint.dir", folder)  # one machine, as in tests
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that written() made for df, which nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -41,37 +52,54 @@ def shortest_parallel(edges: DataFrame, length: str = "length") -> DataFrame:
     return undirected(edges).where("u <> v").groupBy("graph", "a", "b").agg(F.min(length).alias(length))
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """graph, node, root: the least node of each node's component.
 
-    Labels take the least of their neighbours' and then their label's label, so the rounds grow with
-    the logarithm of a component's width; each round is written and read, none is kept in memory.
+    In a round every node points to its least neighbour, if that is less than itself; pointers are
+    doubled until they end in nodes less than all of theirs, and the edges are contracted along them. At
+    most half of the nodes are left for the next round, so rounds and doublings grow with the logarithm
+    of the nodes. A component's least node is never contracted. In the end the pointers are followed
+    backwards, from the last round to the first.
     """
     both = edges.select("graph", F.col("u").alias("node"), F.col("v").alias("other"))
     both = both.unionByName(edges.select("graph", F.col("v").alias("node"), F.col("u").alias("other"))).distinct()
-    both = written(both, "adjacent")
-    labels = written(both.groupBy("graph", "node").agg(F.least(F.min("other"), F.first("node")).alias("root")), "labels")
-    for _ in range(most):
-        seen = labels.select("graph", F.col("node").alias("other"), F.col("root").alias("theirs"))
-        least = both.join(seen, ["graph", "other"]).groupBy("graph", "node").agg(F.min("theirs").alias("theirs"))
-        new = labels.join(least, ["graph", "node"]).select("graph", "node", F.least("root", "theirs").alias("root"), F.col("root").alias("old"))
-        jump = new.select("graph", F.col("node").alias("root"), F.col("root").alias("further"))
-        new = new.join(jump, ["graph", "root"], "left").select("graph", "node", F.coalesce("further", "root").alias("root"), "old")
-        new = written(new, "labels")
-        changed = new.where("root <> old").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components aren't settled after {most} rounds")
+    both, rounds = written(both, "adjacent"), []
+    while not rounds or both.limit(1).count():
+        to, moving = written(both.groupBy("graph", "node").agg(F.least(F.min("other"), "node").alias("root")), "pointers"), True
+        while moving:
+            jump = to.select("graph", F.col("node").alias("root"), F.col("root").alias("further"))
+            new = written(to.join(jump, ["graph", "root"]).select("graph", "node", F.col("further").alias("root"), (F.col("further") < F.col("root")).alias("moved")), "pointers")
+            moving = new.where("moved").limit(1).count() > 0
+            discard(to)
+            to = new
+        rounds.append(to)
+        to = to.drop("moved")
+        moved = both.join(to, ["graph", "node"]).select("graph", F.col("root").alias("node"), "other")
+        moved = moved.join(to.withColumnsRenamed({"node": "other", "root": "there"}), ["graph", "other"])
+        last, both = both, written(moved.where("node <> there").select("graph", "node", F.col("there").alias("other")).distinct(), "adjacent")
+        discard(last)
+    discard(both)
+    labels = rounds.pop().drop("moved")
+    while rounds:
+        further = labels.select("graph", F.col("node").alias("root"), F.col("root").alias("further"))
+        labels = written(rounds.pop().join(further, ["graph", "root"], "left").select("graph", "node", F.coalesce("further", "root").alias("root")), "labels")
+    return labels
 
 
 def prune_spurs(edges: DataFrame, least: float, rounds: int = 3, length: str = "length") -> DataFrame:
-    """edges without those shorter than `least` that end in a node of degree 1, round by round."""
+    """edges without those shorter than `least` that end in a node of degree 1, round by round.
+
+    A round reads what the last one wrote, so no plan grows with the rounds, and stops where nothing goes.
+    """
+    edges = written(edges, "edges")
     for _ in range(rounds):
         single = degrees(edges).where("degree = 1").select("graph", "node")
-        loose = ends(edges).join(single, ["graph", "node"], "left_semi").select("graph", "id").distinct()
-        short = edges.where(F.col(length) < least).select("graph", "id").join(loose, ["graph", "id"], "left_semi")
-        edges = edges.join(short, ["graph", "id"], "left_anti")
+        short = ends(edges.where(F.col(length) < least)).join(single, ["graph", "node"], "left_semi")
+        gone = written(short.select("graph", "id").distinct(), "spurs")
+        if not gone.limit(1).count():
+            break
+        last, edges = edges, written(edges.join(gone, ["graph", "id"], "left_anti"), "edges")
+        discard(last)
     return edges
 
 

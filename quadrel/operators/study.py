@@ -7,6 +7,9 @@ counts, which a running sum over pre-aggregated counts gives.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,38 +57,50 @@ def spearman(rows: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     return sums.select(*by, "n", "clusters", rho.alias("rho"))
 
 
-def draws(sites: DataFrame, iterations: int, seed: str = "draw") -> DataFrame:
-    """iteration, site, times: how often each of the sites is drawn, with replacement.
+def draws(sites: list, iterations: int, seed: str = "draw") -> dict[tuple[int, ...], int]:
+    """How often each site is drawn, with replacement, in a draw of as many as there are -> draws of that kind.
 
-    sites: site, k (0 to n - 1), n. A draw is a hash of seed, iteration and slot, so any engine can repeat it.
+    A draw is a hash of seed, iteration and slot, so any engine can repeat it. Only the counts of a draw
+    matter; a few sites have few of those, however many iterations there are.
     """
-    slots = sites.select("n").limit(1).select("n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    slots = slots.select("iteration", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("slot"))
-    key = F.concat_ws(":", F.lit(seed), F.col("iteration").cast("string"), F.col("slot").cast("string"))
-    number = F.conv(F.substring(F.sha2(key, 256), 1, 12), 16, 10).cast("long")
-    picked = slots.select("iteration", F.pmod(number, F.col("n")).alias("k"))
-    return picked.groupBy("iteration", "k").agg(F.count("*").alias("times")).join(sites, "k").select("iteration", "site", "times")
+    n, found = len(sites), Counter()
+    for i in range(iterations):
+        times = [0] * n
+        for slot in range(n):
+            times[int(hashlib.sha256(f"{seed}:{i}:{slot}".encode()).hexdigest()[:12], 16) % n] += 1
+        found[tuple(times)] += 1
+    return dict(found)
 
 
-def bootstrap(rows: DataFrame, drawn: DataFrame, by: list[str], iterations: int, least_clusters: int = 3) -> DataFrame:
-    """by, lo, hi: the 95 % interval of rho when whole sites are drawn; null with too few of either.
+def site_ranks(rows: DataFrame, by: list[str], value: str, out: str, sites: list) -> DataFrame:
+    """by, value, out: for each site its rows below a value and half of those with it.
 
-    A site's rows weigh as often as it is drawn: ranks come from weighted counts, so drawn rows aren't repeated.
+    The average rank of a value among rows that weigh as often as their site was drawn is the sum of
+    these, each times its site's draws, and a half: no draw sorts or counts anything anew.
     """
-    own = [*by, "iteration"]
-    sample = rows.join(F.broadcast(drawn), "site")  # iterations x sites rows, both parameters
+    counted = rows.groupBy(*by, value).agg(*[F.count_if(F.col("site") == F.lit(x)).alias(f"_n{k}") for k, x in enumerate(sites)])
+    upto = Window.partitionBy(*by).orderBy(value)
+    return counted.select(*by, value, F.array(*[F.sum(f"_n{k}").over(upto) - F.col(f"_n{k}") / F.lit(2.0) for k in range(len(sites))]).alias(out))
 
-    def rank(value: str, out: str) -> DataFrame:
-        counts = sample.groupBy(*own, value).agg(F.sum("times").alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy(*own).orderBy(value)) - F.col("_n")
-        return counts.select(*own, value, (before + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
 
-    w, x, y = F.col("times"), F.col("rx"), F.col("ry")
-    sums = sample.join(rank("x", "rx"), [*own, "x"]).join(rank("y", "ry"), [*own, "y"]).groupBy(*own).agg(
-        F.sum(w).cast("double").alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"),
+def bootstrap(rows: DataFrame, sites: list, by: list[str], iterations: int, least_clusters: int = 3, seed: str = "draw") -> DataFrame:
+    """by, lo, hi: the 95 % interval of rho when whole sites are drawn; null with too few of either.
+
+    sites: their list, a dimension. A row meets each kind of draw once, in place, and is added up there.
+    """
+    kinds = draws(sites, iterations, seed)
+    dealt = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(n).cast("long").alias("times"), F.array(*[F.lit(float(x)) for x in w]).alias("w")) for i, (w, n) in enumerate(sorted(kinds.items()))])
+    ranked_ = rows.join(site_ranks(rows, by, "x", "px", sites), [*by, "x"]).join(site_ranks(rows, by, "y", "py", sites), [*by, "y"])
+    own = F.array_position(F.array(*map(F.lit, sites)), F.col("site")).cast("int") - 1
+    each = ranked_.select(*by, own.alias("own"), "px", "py", F.inline(dealt))
+    dot = lambda p: sum((F.get(p, F.lit(k)) * F.get("w", F.lit(k)) for k in range(len(sites))), F.lit(0.5))
+    each = each.select(*by, "kind", "times", F.get("w", F.col("own")).alias("m"), dot("px").alias("rx"), dot("py").alias("ry")).where("m > 0")
+    w, x, y = F.col("m"), F.col("rx"), F.col("ry")
+    sums = each.groupBy(*by, "kind", "times").agg(
+        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"),
     )
-    each = sums.select(*by, F.when(F.col("n") >= 3, correlation(*map(F.col, ("n", "sx", "sy", "sxx", "syy", "sxy")))).alias("rho"))
-    ends = each.groupBy(*by).agg(F.count("rho").alias("k"), F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    rho = sums.select(*by, "times", F.when(F.col("n") >= 3, correlation(*map(F.col, ("n", "sx", "sy", "sxx", "syy", "sxy")))).alias("rho")).where("rho is not null")
+    ends = rho.groupBy(*by).agg(F.sum("times").alias("k"), F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975)), F.col("times")).alias("p"))
     enough = rows.groupBy(*by).agg(F.countDistinct("site").alias("clusters")).where(F.col("clusters") >= least_clusters).select(*by)
     return ends.where(F.col("k") >= iterations // 4).join(enough, by, "left_semi").select(*by, F.get("p", F.lit(0)).alias("lo"), F.get("p", F.lit(1)).alias("hi"))
 

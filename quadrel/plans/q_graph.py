@@ -13,7 +13,6 @@ from .catalog import query
 from .catalog import rounded as r
 
 LEN = "segs AS (SELECT *, sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) AS length, ((degrees(atan2(vx - ux, vy - uy)) % 360) + 360) % 360 AS bearing FROM segments)"
-THIN = "thin AS (SELECT * FROM edges WHERE id % 40 = 0)"
 
 
 def measured(spark, sf_dir) -> DataFrame:
@@ -21,10 +20,6 @@ def measured(spark, sf_dir) -> DataFrame:
     return rel.segments(spark, sf_dir).withColumns({"length": F.hypot(dx, dy), "bearing": geo.bearing(dx, dy)})
 
 
-def thin(spark, sf_dir) -> DataFrame:
-    return rel.edges(spark, sf_dir).where("id % 40 = 0")
-
-
 def lines(spark, sf_dir) -> DataFrame:
     """way, line: the points of each way in order; a way is a handful of references."""
     at = rel.ways(spark, sf_dir).join(rel.nodes(spark, sf_dir), F.col("ref") == F.col("id"))
@@ -138,35 +133,35 @@ def gr2_neighbours(spark, sf_dir):
     return both.groupBy("graph", "node").agg(F.array_join(F.sort_array(F.collect_set("other")).cast("array<string>"), ",").alias("others"))
 
 
-@query("edges", sql="WITH d AS (SELECT node, count(*) AS degree FROM (SELECT id, u AS node FROM edges WHERE id % 40 = 0 UNION SELECT id, v FROM edges WHERE id % 40 = 0) GROUP BY ALL) SELECT p_partkey AS id, coalesce(degree, 0) AS degree, CASE WHEN degree = 1 THEN 'endpoint' ELSE 'intersection' END AS kind FROM part LEFT JOIN d ON node = p_partkey WHERE coalesce(degree, 0) <= 1")
+@query("edges", sql="WITH d AS (SELECT node, count(*) AS degree FROM (SELECT id, u AS node FROM edges UNION SELECT id, v FROM edges) GROUP BY ALL) SELECT p_partkey AS id, coalesce(degree, 0) AS degree, CASE WHEN degree = 1 THEN 'endpoint' ELSE 'intersection' END AS kind FROM part LEFT JOIN d ON node = p_partkey WHERE coalesce(degree, 0) <= 1")
 def gr3_ends_and_isolated(spark, sf_dir):
     """Nodes of degree 1 and 0 with their kind (p31)."""
-    e = thin(spark, sf_dir).withColumn("graph", F.lit(0))
+    e = rel.edges(spark, sf_dir).withColumn("graph", F.lit(0))
     d = G.degrees(e).select(F.col("node").alias("id"), "degree")
     n = rel.nodes(spark, sf_dir).join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))).where("degree <= 1")
     return n.select("id", "degree", F.when(F.col("degree") == 1, "endpoint").otherwise("intersection").alias("kind"))
 
 
-REACH = f"""WITH RECURSIVE {THIN}, b AS (SELECT graph, u AS n, v AS o FROM thin UNION SELECT graph, v, u FROM thin), c AS (SELECT graph, n AS node, n AS root FROM b UNION SELECT c.graph, b.o, c.root FROM c JOIN b ON b.graph = c.graph AND b.n = c.node),
-  roots AS (SELECT graph, node, min(root) AS root FROM c GROUP BY ALL)"""
-
-
+# labels fall to the least of a neighbour's, one step a round; a round holds only what changed
+REACH = """WITH RECURSIVE b AS (SELECT graph, u AS n, v AS o FROM edges UNION SELECT graph, v, u FROM edges),
+  roots(graph, node, root) USING KEY (graph, node) AS (SELECT DISTINCT graph, n, n FROM b UNION
+    SELECT b.graph, b.n, min(c.root) FROM b JOIN roots c ON c.graph = b.graph AND c.node = b.o JOIN recurring.roots own ON own.graph = b.graph AND own.node = b.n GROUP BY b.graph, b.n, own.root HAVING min(c.root) < own.root)"""
 
 
 @query("edges", sql=REACH + " SELECT graph, node, root FROM roots")
 def gr5_components(spark, sf_dir):
-    return G.components(thin(spark, sf_dir)).select("graph", "node", "root")
+    return G.components(rel.edges(spark, sf_dir)).select("graph", "node", "root")
 
 
 @query("edges", sql=REACH + ", n AS (SELECT graph, root, count(*) AS nodes FROM roots GROUP BY ALL) SELECT graph, root, nodes FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY nodes DESC, root) AS k FROM n) WHERE k = 1")
 def t5_largest_component(spark, sf_dir):
-    n = G.components(thin(spark, sf_dir)).groupBy("graph", "root").agg(F.count("*").alias("nodes"))
+    n = G.components(rel.edges(spark, sf_dir)).groupBy("graph", "root").agg(F.count("*").alias("nodes"))
     return n.groupBy("graph").agg(F.max(F.struct("nodes", (-F.col("root")).alias("k"))).alias("m")).select("graph", (-F.col("m.k")).alias("root"), "m.nodes")
 
 
-@query("segments", sql=REACH + f", {LEN}, p AS (SELECT s.*, r.root FROM segs s JOIN roots r ON r.graph = s.graph AND r.node = s.u WHERE s.id % 40 = 0) SELECT graph, id FROM p QUALIFY sum(length) OVER (PARTITION BY graph, root) >= 900")
+@query("segments", sql=REACH + f", {LEN}, p AS (SELECT s.*, r.root FROM segs s JOIN roots r ON r.graph = s.graph AND r.node = s.u) SELECT graph, id FROM p QUALIFY sum(length) OVER (PARTITION BY graph, root) >= 900")
 def gr15_drop_small(spark, sf_dir):
-    return G.drop_small(measured(spark, sf_dir).where("id % 40 = 0"), 900.0).select("graph", "id")
+    return G.drop_small(measured(spark, sf_dir), 900.0).select("graph", "id")
 
 
 @query("segments", sql=f"WITH {LEN} SELECT graph, least(u, v) AS a, greatest(u, v) AS b, round(min(length), 3) AS length FROM segs WHERE u <> v GROUP BY ALL")
@@ -177,9 +172,9 @@ def gr6_shortest_parallel(spark, sf_dir):
 PRUNE = ", {b} AS (SELECT * FROM {a} WHERE NOT (length < 400 AND (graph, id) IN (SELECT e.graph, e.id FROM {a} e, (SELECT graph, node FROM (SELECT graph, id, u AS node FROM {a} UNION SELECT graph, id, v FROM {a}) GROUP BY ALL HAVING count(*) = 1) d WHERE d.graph = e.graph AND (d.node = e.u OR d.node = e.v))))"
 
 
-@query("segments", sql=f"WITH {LEN}, p0 AS (SELECT graph, id, u, v, length FROM segs WHERE id % 8 = 0){PRUNE.format(a='p0', b='p1')}{PRUNE.format(a='p1', b='p2')}{PRUNE.format(a='p2', b='p3')} SELECT graph, id FROM p3")
+@query("segments", sql=f"WITH {LEN}, p0 AS (SELECT graph, id, u, v, length FROM segs){PRUNE.format(a='p0', b='p1')}{PRUNE.format(a='p1', b='p2')}{PRUNE.format(a='p2', b='p3')} SELECT graph, id FROM p3")
 def gr14_prune_spurs(spark, sf_dir):
-    return G.prune_spurs(measured(spark, sf_dir).where("id % 8 = 0").select("graph", "id", "u", "v", "length"), 400.0).select("graph", "id")
+    return G.prune_spurs(measured(spark, sf_dir).select("graph", "id", "u", "v", "length"), 400.0).select("graph", "id")
 
 
 @query("ways", sql="""WITH j AS (SELECT ref FROM ways GROUP BY ref HAVING count(*) >= 31), m AS (SELECT w.*, CASE WHEN j.ref IS NULL THEN 0 ELSE 1 END AS cut FROM ways w LEFT JOIN j USING (ref)),

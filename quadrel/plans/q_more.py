@@ -18,14 +18,13 @@ from .q_graph import CLASSED, LEN, classed, lines, measured
 from .q_score import f1
 
 CELL = 20.0
-BURN = f"""{CLASSED}, few AS (SELECT * FROM classed WHERE id % 200 = 0),
-  hit AS (SELECT f.*, CAST(a.i AS BIGINT) AS cx, CAST(b.i AS BIGINT) AS cy FROM few f, range(50) a(i), range(50) b(i) WHERE a.i >= floor(least(ux, vx) / 20) AND a.i <= floor(greatest(ux, vx) / 20) AND b.i >= floor(least(uy, vy) / 20) AND b.i <= floor(greatest(uy, vy) / 20)
-    AND least(ux, vx) <= a.i * 20 + 20 AND greatest(ux, vx) >= a.i * 20 AND least(uy, vy) <= b.i * 20 + 20 AND greatest(uy, vy) >= b.i * 20
-    AND abs((vx - ux) * (b.i * 20 + 10 - uy) - (vy - uy) * (a.i * 20 + 10 - ux)) <= 10 * (abs(vx - ux) + abs(vy - uy)))"""
+BURN = f"""{CLASSED}, box AS (SELECT id, rank, bearing, ux, uy, vx, vy, CAST(floor(least(ux, vx) / 20) AS BIGINT) AS x0, CAST(floor(least(uy, vy) / 20) AS BIGINT) AS y0, CAST(floor(greatest(ux, vx) / 20) AS BIGINT) + 1 AS x1, CAST(floor(greatest(uy, vy) / 20) AS BIGINT) + 1 AS y1 FROM classed),
+  each_ AS MATERIALIZED (SELECT *, unnest(range((x1 - x0) * (y1 - y0))) AS i FROM box), tall AS (SELECT *, x0 + i % (x1 - x0) AS cx, y0 + i // (x1 - x0) AS cy FROM each_),
+  hit AS MATERIALIZED (SELECT * FROM tall WHERE cx >= 0 AND cx < 50 AND cy >= 0 AND cy < 50 AND abs((vx - ux) * (cy * 20 + 10 - uy) - (vy - uy) * (cx * 20 + 10 - ux)) <= 10 * (abs(vx - ux) + abs(vy - uy)))"""
 
 
 def hits(spark, sf_dir):
-    return B.touched(classed(spark, sf_dir).where("id % 200 = 0"), CELL)
+    return B.touched(classed(spark, sf_dir), CELL)
 
 
 @query("segments", sql=f"WITH {BURN} SELECT cx, cy, count(*) AS n FROM hit GROUP BY cx, cy")
@@ -41,14 +40,14 @@ def r5_painted_classes(spark, sf_dir):
     return p.select("cx", "cy", (12 - F.col("rank")).alias("ordinal"), r(F.sin(turn)).alias("s"), r(F.cos(turn)).alias("c"))
 
 
-@query("segments", "tiles", sql=f"""WITH {LEN}, deg AS (SELECT node, count(*) AS d FROM (SELECT id, u AS node FROM segs WHERE graph = 0 UNION SELECT id, v FROM segs WHERE graph = 0) GROUP BY node),
+@query("segments", "tiles", sql=f"""WITH {LEN}, deg AS (SELECT node, count(*) AS d FROM (SELECT id, u AS node FROM segs UNION SELECT id, v FROM segs) GROUP BY node),
   core AS (SELECT t.tile, d FROM deg JOIN nodes n ON n.id = deg.node JOIN tiles t ON n.x >= t.ix * 200 AND n.x < (t.ix + 1) * 200 AND n.y >= t.iy * 200 AND n.y < (t.iy + 1) * 200),
-  e AS (SELECT t.tile, length FROM segs JOIN tiles t ON (ux + vx) / 2 >= t.ix * 200 AND (ux + vx) / 2 < (t.ix + 1) * 200 AND (uy + vy) / 2 >= t.iy * 200 AND (uy + vy) / 2 < (t.iy + 1) * 200 WHERE graph = 0),
+  e AS (SELECT t.tile, length FROM segs JOIN tiles t ON (ux + vx) / 2 >= t.ix * 200 AND (ux + vx) / 2 < (t.ix + 1) * 200 AND (uy + vy) / 2 >= t.iy * 200 AND (uy + vy) / 2 < (t.iy + 1) * 200),
   es AS (SELECT tile, sum(length) AS l, quantile_cont(length, 0.5) AS med FROM e GROUP BY tile), cs AS (SELECT tile, count(*) AS n, count(*) FILTER (d >= 3) AS x, count(*) FILTER (d = 1) AS ends FROM core GROUP BY tile)
   SELECT t.tile, round(coalesce(l, 0) / 1000 / 0.04, 3) AS density, round(coalesce(x, 0) / 0.04, 2) AS crossings, round(ends / nullif(n, 0)::DOUBLE, 5) AS dead_ends, round(med, 3) AS median_length FROM tiles t LEFT JOIN es USING (tile) LEFT JOIN cs USING (tile)""")
 def a6_road_structure(spark, sf_dir):
     """Measures of a tile's core: edges by midpoint, nodes by place, degrees from the whole graph."""
-    s = measured(spark, sf_dir).where("graph = 0")
+    s = measured(spark, sf_dir).withColumn("graph", F.lit(0))  # the graphs lie over each other: one network
     t = rel.tiles(spark, sf_dir).select("tile", "ix", "iy")
     at = lambda c: F.floor(c / 200).cast("int")
     e = s.withColumns({"ix": at((F.col("ux") + F.col("vx")) / 2), "iy": at((F.col("uy") + F.col("vy")) / 2)}).join(t, ["ix", "iy"])
@@ -59,11 +58,11 @@ def a6_road_structure(spark, sf_dir):
     return rows.select("tile", r(F.coalesce("l", F.lit(0.0)) / 1000 / 0.04, 3).alias("density"), r(F.coalesce("c", F.lit(0)) / 0.04, 2).alias("crossings"), r(F.col("ends") / F.nullif(F.col("n"), F.lit(0).cast("long")), 5).alias("dead_ends"), r("med", 3).alias("median_length"))
 
 
-@query("ways", "nodes", sql="""WITH p AS (SELECT way, pos, n.x, n.y FROM ways JOIN nodes n ON n.id = ref) SELECT p.way, p.pos, m.id AS node FROM p JOIN nodes m ON round_even(m.x + 0.0004, 3) = round_even(p.x + 0.0001, 3) AND round_even(m.y - 0.0002, 3) = round_even(p.y, 3) WHERE p.way % 7 = 0""".replace("round_even(m.x + 0.0004, 3) = round_even(p.x + 0.0001, 3) AND round_even(m.y - 0.0002, 3) = round_even(p.y, 3)", "m.x = p.x AND m.y = p.y"))
+@query("ways", "nodes", sql="""WITH p AS (SELECT way, pos, n.x, n.y FROM ways JOIN nodes n ON n.id = ref) SELECT p.way, p.pos, m.id AS node FROM p JOIN nodes m ON round_even(m.x + 0.0004, 3) = round_even(p.x + 0.0001, 3) AND round_even(m.y - 0.0002, 3) = round_even(p.y, 3)""".replace("round_even(m.x + 0.0004, 3) = round_even(p.x + 0.0001, 3) AND round_even(m.y - 0.0002, 3) = round_even(p.y, 3)", "m.x = p.x AND m.y = p.y"))
 def j23_snapped_vertices(spark, sf_dir):
     """Vertices that equal a node to the millimetre: an equi join on rounded places."""
     n = rel.nodes(spark, sf_dir)
-    p = rel.ways(spark, sf_dir).where("way % 7 = 0").join(n, F.col("ref") == F.col("id")).select("way", "pos", F.bround(F.col("x") + 0.0001, 3).alias("kx"), F.bround("y", 3).alias("ky"))
+    p = rel.ways(spark, sf_dir).join(n, F.col("ref") == F.col("id")).select("way", "pos", F.bround(F.col("x") + 0.0001, 3).alias("kx"), F.bround("y", 3).alias("ky"))
     m = n.select(F.col("id").alias("node"), F.bround(F.col("x") + 0.0004, 3).alias("kx"), F.bround(F.col("y") - 0.0002, 3).alias("ky"))
     return p.join(m, ["kx", "ky"]).select("way", F.col("pos").cast("long").alias("pos"), "node")
 
@@ -111,17 +110,22 @@ def m10_distance_to_line(spark, sf_dir):
     return rel.nodes(spark, sf_dir).withColumn("m", F.array_min(F.array(*each))).select("id", r("m.d").alias("d"), "m.seg")
 
 
-@query("tiles", sql="""WITH s AS (SELECT tile, row_number() OVER (ORDER BY sha256('7:1:' || tile)) - 1 AS k FROM tiles) SELECT tile, CAST(k // 4 AS INTEGER) AS grp, CAST(k % 4 AS INTEGER) AS place FROM s WHERE k // 4 < 6""")
+@query("tiles", sql="""WITH s AS (SELECT tile, row_number() OVER (ORDER BY sha256('7:1:' || tile)) - 1 AS k, count(*) OVER () AS n FROM tiles) SELECT tile, CAST(k // 4 AS INTEGER) AS grp, CAST(k % 4 AS INTEGER) AS place FROM s WHERE k // 4 < n // 4""")
 def w14_epoch_groups(spark, sf_dir):
     """Tiles in an order drawn by hash, in groups of four; the short tail is left out."""
     key = F.sha2(F.concat(F.lit("7:1:"), F.col("tile").cast("string")), 256)
-    s = rel.tiles(spark, sf_dir).select("tile", (F.row_number().over(Window.orderBy(key)) - 1).alias("k"))  # the list of tiles, not their cells
-    return s.select("tile", F.floor(F.col("k") / 4).cast("int").alias("grp"), (F.col("k") % 4).alias("place")).where("grp < 6")
+    s = rel.tiles(spark, sf_dir).select("tile", key.alias("key"), F.substring(key, 1, 2).alias("head"))
+    counts = s.groupBy("head").agg(F.count("*").alias("n"))  # 256 rows at most, whatever the tiles
+    every = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = counts.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"), F.sum("n").over(every).alias("all"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("key")) - 1
+    s = s.join(F.broadcast(before), "head").select("tile", (F.col("before") + place).alias("k"), "all")
+    return s.where(F.floor(F.col("k") / 4) < F.floor(F.col("all") / 4)).select("tile", F.floor(F.col("k") / 4).cast("int").alias("grp"), (F.col("k") % 4).cast("int").alias("place"))
 
 
-@query("segments", sql=f"WITH {CLASSED} SELECT id, road_class, coalesce(nullif(id % 3, 0), lanes) AS lanes, CASE WHEN id % 5 = 0 THEN width_m ELSE (id % 5)::DOUBLE END AS width_m FROM classed WHERE id % 17 = 0")
+@query("segments", sql=f"WITH {CLASSED} SELECT id, road_class, coalesce(nullif(id % 3, 0), lanes) AS lanes, CASE WHEN id % 5 = 0 THEN width_m ELSE (id % 5)::DOUBLE END AS width_m FROM classed")
 def p10_class_defaults(spark, sf_dir):
-    e = classed(spark, sf_dir).where("id % 17 = 0")
+    e = classed(spark, sf_dir)
     return e.select("id", "road_class", F.coalesce(F.nullif(F.col("id") % 3, F.lit(0).cast("long")), F.col("lanes").cast("long")).alias("lanes"), F.coalesce(F.nullif((F.col("id") % 5).cast("double"), F.lit(0.0)), F.col("width_m")).alias("width_m"))
 
 
@@ -162,13 +166,13 @@ def a19_fold_scores(spark, sf_dir):
     return per.agg(r(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 5).alias("pooled"), r(F.avg("f"), 5).alias("per_tile"))
 
 
-W8 = """w AS (SELECT CAST(i - 4 AS INTEGER) AS o, exp(-(i - 4) * (i - 4) / 2.0::DOUBLE) / sum(exp(-(i - 4) * (i - 4) / 2.0::DOUBLE)) OVER () AS w FROM range(9) t(i)), s AS (SELECT tile, "row" AS rw, col, v FROM stack WHERE tile % 10 = 0),
+W8 = """w AS (SELECT CAST(i - 4 AS INTEGER) AS o, exp(-(i - 4) * (i - 4) / 2.0::DOUBLE) / sum(exp(-(i - 4) * (i - 4) / 2.0::DOUBLE)) OVER () AS w FROM range(9) t(i)), s AS (SELECT tile, "row" AS rw, col, v FROM stack),
   a AS (SELECT g.tile, g.rw, g.col, sum(w * h.v) AS v FROM s g, w JOIN s h ON h.tile = g.tile AND h.rw = g.rw AND h.col = CASE WHEN g.col + o < 0 THEN -g.col - o - 1 WHEN g.col + o > 7 THEN 15 - g.col - o ELSE g.col + o END GROUP BY ALL)"""
 
 
 @query("stack", sql=f"""WITH {W8} SELECT g.tile, g.rw, g.col, round(sum(w * h.v), 4) AS v FROM a g, w JOIN a h ON h.tile = g.tile AND h.col = g.col AND h.rw = CASE WHEN g.rw + o < 0 THEN -g.rw - o - 1 WHEN g.rw + o > 7 THEN 15 - g.rw - o ELSE g.rw + o END GROUP BY g.tile, g.rw, g.col""")
 def w8_gaussian(spark, sf_dir):
-    s = rel.stack(spark, sf_dir).where("tile % 10 = 0").select("tile", "row", "col", "v")
+    s = rel.stack(spark, sf_dir).select("tile", "row", "col", "v")
     return R.gaussian(s, 8, 8, 1.0).select("tile", F.col("row").alias("rw"), "col", r("v").alias("v"))
 
 
@@ -189,10 +193,10 @@ def t7_first_tiles(spark, sf_dir):
     return rel.tiles(spark, sf_dir).orderBy("iy", "ix").limit(7).select("tile", "ix", "iy")
 
 
-@query("buildings", sql="SELECT a.id AS a, b.id AS b FROM buildings a JOIN buildings b ON a.id < b.id AND a.id % 4 = 0 AND b.id % 4 = 0 AND a.x + a.side >= b.x AND b.x + b.side >= a.x AND a.y + a.side >= b.y AND b.y + b.side >= a.y")
+@query("buildings", sql="SELECT a.id AS a, b.id AS b FROM buildings a JOIN buildings b ON a.id < b.id AND a.x + a.side >= b.x AND b.x + b.side >= a.x AND a.y + a.side >= b.y AND b.y + b.side >= a.y")
 def p5_touching_boxes(spark, sf_dir):
     """Pairs of boxes that share area, an edge or a corner: bucketed, each pair from the bucket of its first corner."""
-    b = rel.buildings(spark, sf_dir).where("id % 4 = 0").select("id", "x", "y", (F.col("x") + F.col("side")).alias("x2"), (F.col("y") + F.col("side")).alias("y2"))
+    b = rel.buildings(spark, sf_dir).select("id", "x", "y", (F.col("x") + F.col("side")).alias("x2"), (F.col("y") + F.col("side")).alias("y2"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / 60), F.floor(F.col(hi) / 60))
     c = b.withColumn("cx", F.explode(span("x", "x2"))).withColumn("cy", F.explode(span("y", "y2")))
     o = c.toDF("b", "bx", "by", "bx2", "by2", "cx", "cy")
@@ -206,9 +210,9 @@ def u6_distinct_versions(spark, sf_dir):
     return rel.manifests(spark, sf_dir).select("role", "version").distinct()
 
 
-@query(sql="SELECT o_custkey AS archive, count(*) AS n, printf('%d members, %.3f MB, %d large', count(*), sum(floor(o_totalprice)) / 1000000, count(*) FILTER (o_totalprice > 200000)) AS line FROM orders WHERE o_custkey % 9 = 1 GROUP BY o_custkey")
+@query(sql="SELECT o_custkey AS archive, count(*) AS n, printf('%d members, %.3f MB, %d large', count(*), sum(floor(o_totalprice)) / 1000000, count(*) FILTER (o_totalprice > 200000)) AS line FROM orders GROUP BY o_custkey")
 def a35_fetch_reports(spark, sf_dir):
-    o = rel.table(spark, sf_dir, "orders").where("o_custkey % 9 = 1").groupBy(F.col("o_custkey").alias("archive"))
+    o = rel.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("archive"))
     large = F.count_if(F.col("o_totalprice") > 200000)
     return o.agg(F.count("*").alias("n"), F.format_string("%d members, %.3f MB, %d large", F.count("*"), F.sum(F.floor("o_totalprice").cast("double")) / 1000000, large).alias("line"))
 
@@ -229,7 +233,7 @@ def gr17_routes(spark, sf_dir):
     return rel.stack(spark, sf_dir).groupBy("tile").applyInPandas(run, "tile long, steps long")
 
 
-@query()
+@query("stack", sql="SELECT tile, cell, round(1 / (1 + exp(-v / 100.0::DOUBLE)), 6) AS p FROM stack")
 def n5_predictions(spark, sf_dir):
     """A pluggable predictor over cells in Arrow batches: here a logistic one of fixed weights."""
     import pyarrow as pa
@@ -240,10 +244,10 @@ def n5_predictions(spark, sf_dir):
             x = pc.divide(b.column(2), 100.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.divide(1.0, pc.add(1.0, pc.exp(pc.negate(x))))], ["tile", "cell", "p"])
 
-    return rel.stack(spark, sf_dir).select("tile", "cell", "v").mapInArrow(predict, "tile long, cell int, p double")
+    return rel.stack(spark, sf_dir).select("tile", "cell", "v").mapInArrow(predict, "tile long, cell int, p double").withColumn("p", r("p", 6))
 
 
-@query()
+@query("stack", sql="SELECT site, arm, round(avg(CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 5) AS coverage, round(avg(p), 5) AS mean FROM (SELECT site, arm, 1 / (1 + exp(-(v * arm - 60) / 50)) AS p FROM stack, (SELECT unnest([0.5::DOUBLE, 1.0, 2.0]) AS arm)) GROUP BY ALL")
 def n10_sweep(spark, sf_dir):
     """Coverage of the predictor's mask under scaled inputs, arm by arm."""
     arms = F.explode(F.array(*[F.lit(k) for k in (0.5, 1.0, 2.0)]))

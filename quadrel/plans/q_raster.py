@@ -248,9 +248,9 @@ def a29_density(spark, sf_dir):
     return s.select("tile", "row", "col", r(F.col("total") / F.lit(25.0) * 1e6, 1).alias("per_km2"))
 
 
-@query("stack", sql="SELECT tile, cell, min(v) AS lo, round(avg(v), 4) AS mean, max(v) AS hi FROM stack WHERE cell < 15 GROUP BY ALL")
+@query("stack", sql="SELECT tile, cell, min(v) AS lo, round(avg(v), 4) AS mean, max(v) AS hi FROM stack GROUP BY ALL")
 def a13_channel_summary(spark, sf_dir):
-    return rel.stack(spark, sf_dir).where("cell < 15").groupBy("tile", "cell").agg(F.min("v").alias("lo"), r(F.avg("v")).alias("mean"), F.max("v").alias("hi"))
+    return rel.stack(spark, sf_dir).groupBy("tile", "cell").agg(F.min("v").alias("lo"), r(F.avg("v")).alias("mean"), F.max("v").alias("hi"))
 
 
 @query("stack", sql='SELECT a.tile, a.cell, count(*) FILTER (b.v > 0) AS n FROM stack a JOIN stack b ON a.tile = b.tile AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 AND a.cell <> b.cell WHERE a.v > 0 GROUP BY ALL')

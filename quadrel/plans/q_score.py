@@ -73,9 +73,9 @@ def n2_losses(spark, sf_dir):
     return got.agg(r(F.sum(m * bce) / F.greatest(F.sum(m), F.lit(1.0)), 5).alias("bce"), r(1 - (2 * F.sum(m * s * t) + 1) / (F.sum(m * (s + t)) + 1), 5).alias("dice"))
 
 
-@query("stack", sql="SELECT site, cell, round(quantile_cont(v, 0.01), 3) AS lo, round(quantile_cont(v, 0.99), 3) AS hi FROM stack WHERE cell < 16 GROUP BY ALL")
+@query("stack", sql="SELECT site, cell, round(quantile_cont(v, 0.01), 3) AS lo, round(quantile_cont(v, 0.99), 3) AS hi FROM stack GROUP BY ALL")
 def a22_observed_range(spark, sf_dir):
-    s = rel.stack(spark, sf_dir).where("cell < 16").groupBy("site", "cell")
+    s = rel.stack(spark, sf_dir).groupBy("site", "cell")
     return s.agg(r(F.percentile("v", 0.01), 3).alias("lo"), r(F.percentile("v", 0.99), 3).alias("hi"))
 
 
@@ -88,7 +88,7 @@ def n6_perturbation(spark, sf_dir):
 
 @query("stack", sql="""WITH q AS (SELECT site, i.i AS level, quantile_cont(v, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) [i.i + 1] AS qv FROM stack, range(9) i(i) GROUP BY site, i.i),
   m AS (SELECT s.tile, s.cell, s.v, a.level, a.qv AS lo, b.qv AS hi, ra.qv AS rlo, rb.qv AS rhi, row_number() OVER (PARTITION BY s.tile, s.cell ORDER BY a.level) AS k FROM stack s JOIN q a ON a.site = s.site JOIN q b ON b.site = a.site AND b.level = a.level + 1 AND s.v >= a.qv AND s.v <= b.qv
-    JOIN q ra ON ra.site = 0 AND ra.level = a.level JOIN q rb ON rb.site = 0 AND rb.level = b.level WHERE s.cell < 8)
+    JOIN q ra ON ra.site = 0 AND ra.level = a.level JOIN q rb ON rb.site = 0 AND rb.level = b.level)
   SELECT tile, cell, round(rlo + (rhi - rlo) * coalesce((v - lo) / nullif(hi - lo, 0), 0), 3) AS mapped FROM m WHERE k = 1""")
 def n7_quantile_map(spark, sf_dir):
     """Values moved from their site's distribution to a reference one, linearly between levels (j20).
@@ -98,7 +98,7 @@ def n7_quantile_map(spark, sf_dir):
     s = rel.stack(spark, sf_dir)
     levels = F.array(*[F.lit(i / 8) for i in range(9)])
     q = s.groupBy("site").agg(F.percentile("v", levels).alias("q"))
-    rows = s.where("cell < 8").join(F.broadcast(q), "site")  # one array a site
+    rows = s.join(F.broadcast(q), "site")  # one array a site
     ref = q.where("site = 0").select(F.col("q").alias("ref"), F.lit(1).alias("one"))
     rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(ref), "one")
     k = F.greatest(F.array_position(F.transform(F.slice("q", 2, 8), lambda h: F.col("v") <= h), True).cast("int") - 1, F.lit(0))

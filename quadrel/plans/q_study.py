@@ -17,14 +17,17 @@ PAIRS = """f AS (SELECT tile, site, unnest(['f_balance', 'f_step', 'f_flat']) AS
 RANKS = PAIRS + """, ranks AS (SELECT *, rank() OVER (PARTITION BY feature, metric ORDER BY x) + (count(*) OVER (PARTITION BY feature, metric, x) - 1) / 2.0::DOUBLE AS rx,
   rank() OVER (PARTITION BY feature, metric ORDER BY y) + (count(*) OVER (PARTITION BY feature, metric, y) - 1) / 2.0::DOUBLE AS ry FROM pairs)"""
 RHO = RANKS + """, rho AS (SELECT feature, metric, count(*) AS n, count(DISTINCT site) AS clusters, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho FROM ranks GROUP BY ALL)"""
-ITERATIONS = 200
+ITERATIONS = 2000
+# draws that pick the sites equally often are one kind, weighted by their number; in a kind a row counts as often as its site is drawn
 DRAWS = f"""sites AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT site FROM observations)),
-  draw AS (SELECT i.i AS iteration, ('0x' || substr(sha256('draw:' || i.i || ':' || s.i), 1, 12))::BIGINT % 5 AS k FROM range({ITERATIONS}) i(i), range(5) s(i)),
-  drawn AS (SELECT iteration, site, row_number() OVER () AS slot FROM draw JOIN sites USING (k))"""
-BOOT = RHO + f""", {DRAWS}, b AS (SELECT p.feature, p.metric, d.iteration, p.x, p.y FROM pairs p JOIN drawn d USING (site)),
-  br AS (SELECT *, rank() OVER (PARTITION BY feature, metric, iteration ORDER BY x) + (count(*) OVER (PARTITION BY feature, metric, iteration, x) - 1) / 2.0::DOUBLE AS rx,
-    rank() OVER (PARTITION BY feature, metric, iteration ORDER BY y) + (count(*) OVER (PARTITION BY feature, metric, iteration, y) - 1) / 2.0::DOUBLE AS ry FROM b),
-  bi AS (SELECT feature, metric, iteration, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho FROM br GROUP BY ALL),
+  draw AS (SELECT i.i AS iteration, ('0x' || substr(sha256('draw:' || i.i || ':' || s.k), 1, 12))::BIGINT % s.n AS k FROM range({ITERATIONS}) i(i), sites s),
+  times AS (SELECT iteration, site, count(*) AS w FROM draw JOIN sites USING (k) GROUP BY ALL), named AS (SELECT iteration, string_agg(site || 'x' || w, ',' ORDER BY site) AS kind FROM times GROUP BY iteration),
+  kinds AS (SELECT kind, count(*) AS times, min(iteration) AS iteration FROM named GROUP BY kind), drawn AS (SELECT kind, k.times, site, w FROM kinds k JOIN times USING (iteration))"""
+BOOT = RHO + f""", {DRAWS}, b AS (SELECT p.feature, p.metric, d.kind, d.times, p.x, p.y, d.w::DOUBLE AS w FROM pairs p JOIN drawn d USING (site)),
+  br AS (SELECT *, sum(w) OVER (PARTITION BY feature, metric, kind ORDER BY x) - (sum(w) OVER (PARTITION BY feature, metric, kind, x) - 1) / 2 AS rx,
+    sum(w) OVER (PARTITION BY feature, metric, kind ORDER BY y) - (sum(w) OVER (PARTITION BY feature, metric, kind, y) - 1) / 2 AS ry FROM b),
+  bs AS (SELECT feature, metric, kind, times, min(rx) < max(rx) AND min(ry) < max(ry) AS varies, sum(w) AS n, sum(w * rx) AS sx, sum(w * ry) AS sy, sum(w * rx * rx) AS sxx, sum(w * ry * ry) AS syy, sum(w * rx * ry) AS sxy FROM br GROUP BY ALL),
+  bi AS (SELECT feature, metric, unnest(range(times)) AS again, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS rho FROM bs WHERE varies AND n >= 3),
   ci AS (SELECT feature, metric, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM bi GROUP BY ALL HAVING count(rho) >= {ITERATIONS // 4}),
   study AS (SELECT r.*, lo, hi, CASE WHEN rho IS NULL OR lo IS NULL THEN 'insufficient' WHEN lo > 0 OR hi < 0 THEN 'supported' WHEN lo >= -0.3 AND hi <= 0.3 THEN 'null' ELSE 'inconclusive' END AS verdict FROM rho r LEFT JOIN ci USING (feature, metric))"""
 
@@ -36,10 +39,8 @@ def pairs(spark, sf_dir):
 def study(spark, sf_dir):
     """feature, metric, n, clusters, rho, lo, hi, verdict."""
     rows = pairs(spark, sf_dir)
-    sites = rows.select("site").distinct()
-    order = Window.orderBy("site")  # a handful of sites
-    sites = sites.select("site", (F.row_number().over(order) - 1).alias("k"), F.lit(5).alias("n"))
-    ends = S.bootstrap(rows, S.draws(sites, ITERATIONS), BY, ITERATIONS)
+    sites = sorted(x["site"] for x in rel.observations(spark, sf_dir).select("site").distinct().collect())  # a dimension
+    ends = S.bootstrap(rows, sites, BY, ITERATIONS)
     found = S.spearman(rows, BY).join(ends, BY, "left")
     return found.withColumn("verdict", S.verdict(F.col("rho"), F.col("lo"), F.col("hi")))
 

@@ -240,12 +240,12 @@ def m17_code_in_name(spark, sf_dir):
     return rel.table(spark, sf_dir, "part").select(k.alias("id"), geo.mesh_code_in(F.concat(F.lit("udx_"), part, F.lit("_bldg"))).alias("code"))
 
 
-@query("nodes", sql="""SELECT n.id, CAST((30 + y.i) * 1.5 * 100 + x.i AS BIGINT) AS code FROM (SELECT id, 130 + x / 100 AS west, 30 + y / 100 AS south FROM nodes WHERE id % 20 = 0) n, range(30) x(i), range(40) y(i) WHERE false""".replace("WHERE false", "WHERE 1 = 0") + """ UNION ALL
-  SELECT id, CAST(la.i * 100 + lo.i AS BIGINT) FROM (SELECT id, 130 + x / 100 AS west, 30 + y / 100 AS south FROM nodes WHERE id % 20 = 0) n, range(40, 70) la(i), range(25, 45) lo(i)
+@query("nodes", sql="""SELECT n.id, CAST((30 + y.i) * 1.5 * 100 + x.i AS BIGINT) AS code FROM (SELECT id, 130 + x / 100 AS west, 30 + y / 100 AS south FROM nodes) n, range(30) x(i), range(40) y(i) WHERE false""".replace("WHERE false", "WHERE 1 = 0") + """ UNION ALL
+  SELECT id, CAST(la.i * 100 + lo.i AS BIGINT) FROM (SELECT id, 130 + x / 100 AS west, 30 + y / 100 AS south FROM nodes) n, range(40, 70) la(i), range(25, 45) lo(i)
   WHERE lo.i + 100 < west + 1.2 AND lo.i + 101 > west AND la.i / 1.5::DOUBLE < south + 0.9 AND (la.i + 1) / 1.5::DOUBLE > south""")
 def m18_primary_meshes(spark, sf_dir):
     """Codes of the first-order meshes that a box overlaps (m19's filter is the same predicate)."""
-    n = rel.nodes(spark, sf_dir).where("id % 20 = 0").select("id", (130 + F.col("x") / 100).alias("west"), (30 + F.col("y") / 100).alias("south"))
+    n = rel.nodes(spark, sf_dir).select("id", (130 + F.col("x") / 100).alias("west"), (30 + F.col("y") / 100).alias("south"))
     la = F.sequence(F.floor(F.col("south") * 1.5) - 1, F.ceil((F.col("south") + 0.9) * 1.5) + 1)
     lo = F.sequence(F.floor(F.col("west")) - 101, F.ceil(F.col("west") + 1.2) - 99)
     c = n.withColumn("la", F.explode(la)).withColumn("lo", F.explode(lo))
@@ -310,11 +310,13 @@ def s13_position_lists(spark, sf_dir):
     return t.select("id", n.alias("n"), at(0).alias("lat"), at(1).alias("lon"), at(3).alias("lat2"))
 
 
-@query("buildings", "tiles", sql="""WITH cells AS (SELECT b.id, b.height, x.i AS cx, y.i AS cy FROM buildings b, range(520) x(i), range(520) y(i) WHERE id % 10 = 1 AND height IS NOT NULL AND x.i * 2 + 1 >= b.x AND x.i * 2 + 1 < b.x + side AND y.i * 2 + 1 >= b.y AND y.i * 2 + 1 < b.y + side)
+@query("buildings", "tiles", sql="""WITH box AS (SELECT *, CAST(floor(x / 2) AS BIGINT) AS x0, CAST(floor(y / 2) AS BIGINT) AS y0, CAST(floor((x + side) / 2) AS BIGINT) + 1 AS x1, CAST(floor((y + side) / 2) AS BIGINT) + 1 AS y1 FROM buildings WHERE height IS NOT NULL),
+  each_ AS (SELECT *, unnest(range((x1 - x0) * (y1 - y0))) AS i FROM box), tall AS (SELECT *, x0 + i % (x1 - x0) AS cx, y0 + i // (x1 - x0) AS cy FROM each_),
+  cells AS (SELECT * FROM tall WHERE cx * 2 + 1 >= x AND cx * 2 + 1 < x + side AND cy * 2 + 1 >= y AND cy * 2 + 1 < y + side)
   SELECT cx, cy, max(height) AS height, count(*) AS n FROM cells GROUP BY cx, cy""")
 def r1_building_burn(spark, sf_dir):
     """Cells of 2 m whose centre is in a footprint (r1, r3), with the tallest height (t4)."""
-    b = rel.buildings(spark, sf_dir).where("id % 10 = 1 and height is not null").withColumn("ring", geo.square(F.col("x"), F.col("y"), F.col("side")))
+    b = rel.buildings(spark, sf_dir).where("height is not null").withColumn("ring", geo.square(F.col("x"), F.col("y"), F.col("side")))
     cells = lambda c: F.sequence(F.floor(F.col(c) / 2), F.floor((F.col(c) + F.col("side")) / 2))
     c = b.select("height", "ring", "y", "side", F.explode(cells("x")).alias("cx")).withColumn("cy", F.explode(cells("y")))
     inside = geo.in_ring(F.col("ring"), F.col("cx") * 2 + F.lit(1.0), F.col("cy") * 2 + F.lit(1.0))
