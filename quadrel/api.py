@@ -91,9 +91,14 @@ def world_evaluate(truth: DataFrame, own: DataFrame, radius: float = 15.0) -> Da
     return local.compare(truth, own, radius)
 
 
-def generate_roads(cells: DataFrame, rows: int, cols: int, threshold: float = 0.45) -> DataFrame:
-    """graph and counts of what a probability grid traces."""
-    return local.extracted(cells, threshold, rows, cols)
+def generate_roads(cells: DataFrame, rows: int, cols: int, threshold: float = 0.45, cell: float = 1.0, limit: float = 12.0) -> DataFrame:
+    """The roads of each tile, as local.ROADS: traced from probability v, repaired, and led by heights z within the grade limit."""
+    return local.generate(cells, rows, cols, threshold, cell, limit=limit)
+
+
+def roads_for_export(roads: DataFrame, road_class: str = "unknown", width_m: float = 4.0) -> DataFrame:
+    """Generated roads as export() takes them."""
+    return roads.select(F.concat_ws(":", "graph", "id").alias("id"), "line", F.lit(road_class).alias("road_class"), F.lit(width_m).alias("width_m"))
 
 
 def export(edges: DataFrame, path: str) -> None:

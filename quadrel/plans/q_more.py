@@ -233,6 +233,15 @@ def gr17_routes(spark, sf_dir):
     return rel.stack(spark, sf_dir).groupBy("tile").applyInPandas(run, "tile long, steps long")
 
 
+@query()
+def n11_generated_roads(spark, sf_dir):
+    """Roads of each tile's block: extracted, repaired and led within a grade (gr11, gr16, gr19), as edges."""
+    s = rel.stack(spark, sf_dir).select("tile", "row", "col", "v", ((F.col("row") + F.col("col")) * 0.4).alias("z"))
+    small = {"branch": 2, "tolerance": 1.0, "merge": 3.0, "holes": 2, "specks": 2, "spur": 5.0}
+    made = L.generate(s, 8, 8, 0.0, 5.0, {"least": 10.0, "gap": 15.0, "snap": 8.0, "stub": 5.0}, small, 30.0)
+    return made.select("graph", "id", "u", "v", r("length").alias("length"), "line", "step", r("confidence").alias("confidence"), r("grade").alias("grade"))
+
+
 @query("stack", sql="SELECT tile, cell, round(1 / (1 + exp(-v / 100.0::DOUBLE)), 6) AS p FROM stack")
 def n5_predictions(spark, sf_dir):
     """A pluggable predictor over cells in Arrow batches: here a logistic one of fixed weights."""

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quadrel import api
 from quadrel.operators import graph, local, raster, rangejoin, study, synth
 from quadrel.sources import files, sinks
 from quadrel.sources.gate import Gate, ProvenanceError, Source
@@ -133,6 +134,66 @@ def test_repair_bridges_and_prunes():
     assert report == {"dropped": 1, "bridged": 1, "snapped": 0, "pruned": 1} and (1, 2, 30.0) in after
 
 
+def test_repair_counts_components_and_prunes_round_by_round():
+    nodes = {i: (40.0 * i, 0.0) for i in range(6)} | {10: (0.0, 900.0), 11: (9.0, 900.0), 12: (18.0, 900.0), 20: (200.0, 20.0), 21: (200.0, 45.0)}
+    edges = [(i, i + 1, 40.0, f"e{i}") for i in range(5)] + [(10, 11, 9.0, "s"), (11, 12, 9.0, "t"), (5, 20, 20.0, "x"), (20, 21, 25.0, "y")]
+    after, report = local.repair(edges, nodes, gap=1.0, snap=1.0)
+    assert report == {"dropped": 1, "bridged": 0, "snapped": 0, "pruned": 2}
+    assert [e[3] for e in after] == [f"e{i}" for i in range(5)]
+
+
+def test_snapping_looks_at_degrees_as_they_are():
+    """Two loose ends near each other: the first snaps to the second, which is none any more."""
+    nodes = {0: (0.0, 0.0), 1: (100.0, 0.0), 2: (110.0, 10.0), 3: (110.0, 110.0), 4: (300.0, 0.0)}
+    edges = [(0, 1, 100.0, "a"), (2, 3, 100.0, "b")]
+    after, report = local.repair(edges, nodes, gap=0.0, snap=25.0)
+    assert report["snapped"] == 1 and (after[-1][:2], after[-1][3]) == ((1, 2), "snap")
+
+
+def test_masks_are_cleaned():
+    mask = np.ones((12, 12), bool)
+    mask[5, 5] = mask[0, 0] = False
+    assert local.cleaned(mask, 2, 0).all()
+    specks = np.zeros((12, 12), bool)
+    specks[2, 2:6] = specks[8, 8] = True
+    assert local.cleaned(specks, 0, 3).sum() == 4 and len(local.patches(specks)) == 2
+
+
+def cross() -> np.ndarray:
+    grid = np.zeros((200, 200))
+    grid[98:102, 8:192] = grid[8:192, 98:102] = 0.9
+    grid[98:102, 140:148] = 0.0  # a gap
+    grid[99, 40] = 0.0  # a pinhole
+    grid[180:183, 180:183] = 0.8  # a speck
+    return grid
+
+
+def test_roads_are_extracted_repaired_and_graded():
+    found = local.extract(cross(), 0.5, 1.0)
+    assert len(found) == 5 and all(0 < x < 200 and 0 < y < 200 for *_, line, _ in found for x, y in line)
+    flat = local.generated(cross(), np.zeros((200, 200)), 0.5, 1.0, {"gap": 15.0, "least": 15.0})
+    assert sorted(e[4] for e in flat) == ["bridge"] + ["traced"] * 5 and all(e[6] == 0 for e in flat)
+    wall = np.zeros((200, 200))
+    wall[:, 170:] = 40.0
+    steep = local.generated(cross(), wall, 0.5, 1.0, {"gap": 15.0, "least": 15.0})
+    assert len(steep) == 5 and all(e[6] <= 12.0 for e in steep)
+    slope = np.broadcast_to(np.linspace(0, 40, 200)[None, :], (200, 200))
+    led = local.generated(cross(), slope, 0.5, 1.0, {"gap": 15.0, "least": 15.0})
+    assert any(e[4] == "grade" for e in led) and all(e[6] <= 12.0 for e in led)
+    assert local.generated(np.zeros((9, 9)), np.zeros((9, 9)), 0.5, 1.0) == []
+
+
+def test_generated_roads_can_be_exported(spark, tmp_path):
+    grid = cross()
+    rows = [(t, r, c, float(grid[r, c]), 0.0) for t in (1, 2) for r in range(200) for c in range(200)]
+    cells = spark.createDataFrame(rows, "tile long, row int, col int, v double, z double")
+    roads = api.generate_roads(cells, 200, 200, 0.5)
+    want = local.generated(grid, np.zeros((200, 200)), 0.5, 1.0)
+    assert sorted((r["graph"], r["u"], r["v"], r["length"]) for r in roads.collect()) == sorted((t, *e[:3]) for t in (1, 2) for e in want)
+    api.export(api.roads_for_export(roads), str(tmp_path / "bundle"))
+    assert spark.read.text(str(tmp_path / "bundle" / "roads.geojsonl")).count() == 2 * len(want)
+
+
 def test_extraction_of_a_cross():
     grid = np.zeros((60, 60), bool)
     grid[28:32, 5:55] = grid[5:55, 28:32] = True
