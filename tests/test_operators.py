@@ -264,6 +264,32 @@ def test_text_las_zip_and_tiles(spark, tmp_path):
     assert (row.mesh_no, row.url, row.minx, row.maxy) == ("52385001", None, 10 / 4096, 20 / 4096)
 
 
+def test_wire_format_round_trips():
+    rng = random.Random(6)
+
+    def coded(n: int) -> bytes:
+        out = b""
+        while n >= 128:
+            out, n = out + bytes([n % 128 + 128]), n // 128
+        return out + bytes([n])
+
+    numbers = [rng.randrange(1 << rng.randrange(1, 63)) for _ in range(500)] + [0, 127, 128, (1 << 63) - 1]
+    assert files.packed(b"".join(map(coded, numbers))) == numbers and files.packed(b"") == []
+    data = b"".join(coded(8 * i) + coded(n) + coded(8 * i + 2) + coded(i) + b"z" * i + coded(8 * i + 1) + struct.pack("<d", i / 4) + coded(8 * i + 5) + struct.pack("<f", 0.5) for i, n in enumerate(numbers[:200], 1))
+    want = [(i, v) for i, n in enumerate(numbers[:200], 1) for v in (n, b"z" * i, i / 4, 0.5)]
+    assert list(files.message(data)) == want and list(files.message(data + coded(11))) == want and list(files.message(b"")) == []
+    zig = lambda v: (v << 1) ^ (v >> 63)
+    shape, want, at = [], [], (0, 0)
+    for _ in range(60):
+        ring = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(rng.randrange(2, 9))]
+        steps = [(x - a, y - b) for (x, y), (a, b) in zip(ring, [at, *ring])]
+        shape += [9, *map(zig, steps[0]), (len(ring) - 1) << 3 | 2, *[zig(v) for s in steps[1:] for v in s]]
+        at, closed = ring[-1], rng.random() < 0.5
+        shape += [15] * closed
+        want.append(ring + ring[:1] * closed)
+    assert files.rings(shape) == want and files.rings([]) == [] and files.rings([15]) == []
+
+
 def test_map_and_city_files(spark, tmp_path):
     (tmp_path / "m.osm").write_text("""<osm><node id="1" lat="35.0" lon="138.0"/><node id="2" lat="35.1" lon="138.1"/><node id="3" lat="x" lon="1"/>
       <way id="10"><nd ref="1"/><nd ref="2"/><tag k="highway" v="Primary"/></way><way id="11"><nd ref="1"/><tag k="highway" v="footway"/></way><way id="12"><nd ref="2"/></way></osm>""")
