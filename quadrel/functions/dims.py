@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Road class, rank, first level of detail, lanes, width in m, steepest grade in percent.
@@ -102,3 +102,8 @@ def values_sql(rows: list[tuple], names: str) -> str:
     """The same rows as a SQL table, for oracles."""
     text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
     return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS d({names})"
+
+
+def plane_crs(zone) -> Column:
+    """The plane coordinate system of a zone, 1 to 19; null for any other number."""
+    return F.when(zone.between(1, 19), F.concat(F.lit("EPSG:"), (zone + 6668).cast("string")))
