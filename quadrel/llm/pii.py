@@ -57,7 +57,7 @@ PART = 512
 @dataclass(frozen=True)
 class Settings:
     support: int = 2
-    left_bits: float = 1.0
+    left_bits: float = 0.25
     told_bits: float = 3.0
 
 
