@@ -62,7 +62,8 @@ def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
 
     Equal windows have equal numbers of 64 bits, mixed from their words' hashes: twos, then fours,
     then fives. So only texts in which a number occurs twice can hold a window twice; those are
-    searched by the windows' words themselves.
+    searched by the windows' words themselves. What other columns refer to by element is computed once,
+    or Catalyst may put its making in place of a reference, which is then made for each element.
     """
     paired = lambda array, other, k: F.zip_with(array, following(other, k), lambda a, b: mixed(a, b, k))
     windows = F.when(F.size("_words") > 5, F.slice(paired("_fours", "_hashes", 4), F.lit(1), F.size("_words") - 4))
@@ -77,14 +78,14 @@ def base_counts(rows: DataFrame, t: str = "_t") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     long = lambda c: c.cast("long")
     return (
-        rows.withColumn("_words", words_of(F.col(t)))
+        rows.withColumn("_words", once(words_of(F.col(t))))
         .withColumn("_lines", lines)
-        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        .withColumn("_hashes", once(F.transform("_words", lambda w: F.xxhash64(w))))
         .withColumn("_twos", paired("_hashes", "_hashes", 1))
         .withColumn("_fours", paired("_twos", "_twos", 2))
-        .withColumn("_windows", windows)
-        .withColumn("_keyed", keyed)
-        .withColumn("_twice", twice)
+        .withColumn("_windows", once(windows))
+        .withColumn("_keyed", once(keyed))
+        .withColumn("_twice", once(twice))
         .withColumns(
             {
                 "n_words": long(F.size("_words")),
@@ -156,8 +157,6 @@ def judge(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col:
 
 def passing(docs: DataFrame, trusted: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with docs' columns as they were."""
-    # all verdicts are written before they are filtered, as Catalyst would else compute the columns they
-    # are made of again wherever one refers to another
     verdicts = materialise(judged(docs, trusted, s, id_col, text_col).select("_own", "_text", "kept"), "verdicts")
     gone = verdicts.where(~F.col("kept")).select("_own", "_text").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("__own"), F.xxhash64(text_of(text_col)).alias("__text"))
