@@ -3,7 +3,7 @@
 A word's features are the word itself and the character n-grams of <word>, hashed to `buckets` rows
 of a learned table; each pair of neighbouring words adds that pair, hashed likewise, and a pair whose
 words are equal one more, the same for all such pairs. A document is the mean of its features' vectors over all words and pairs; a linear layer
-and softmax give the label's probability. numpy trains by stochastic gradient descent on at most
+and softmax give the label's probability. numpy trains by stochastic gradient descent, in one task, on at most
 `sample` labelled rows, those of smallest hash (the bound is a parameter; all rows are scored). As
 the layer is linear, a feature's part of the logit is one number: executors get those (a fixed
 `buckets` x 4 bytes) and add them up, words seen before from a bounded memory.
@@ -82,8 +82,8 @@ def document(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.bincount(at, np.repeat([float(n) for _, n in parts], [len(p) for p, _ in parts]))
 
 
-def examples(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """(buckets, counts, label) of the sample, in a fixed order; words are hashed on the executors."""
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k, b, n, y: id, buckets, counts and label of the sample; words are hashed on the executors."""
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     chosen = own.orderBy(F.xxhash64("k"), "k").limit(s.sample)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")  # `sample` ids at most
@@ -95,9 +95,17 @@ def examples(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id
                 made = [document(t, s) for t in texts]
                 yield pa.RecordBatch.from_pydict({"k": pa.array([str(k) for k in keys]), "b": pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), "n": pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary()), "y": pa.array(ys, pa.int32())})
 
-    got = rows.select("k", "t", F.col("y").cast("int").alias("y")).mapInArrow(run, "k string, b binary, n binary, y int").collect()
-    got.sort(key=lambda r: (r["k"], r["b"]))
-    return [(np.frombuffer(r["b"], np.int32), np.frombuffer(r["n"], np.float32), r["y"]) for r in got if len(r["b"])]
+    return rows.select("k", "t", F.col("y").cast("int").alias("y")).mapInArrow(run, "k string, b binary, n binary, y int")
+
+
+def in_order(rows) -> list:
+    """(buckets, counts, label) of rows (k, b, n, y) in a fixed order, texts without words left out."""
+    return [(np.frombuffer(b, np.int32), np.frombuffer(n, np.float32), y) for _, b, n, y in sorted(rows, key=lambda r: r[:2]) if len(b)]
+
+
+def examples(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> list:
+    """What train() takes, on the driver; fit() learns without that."""
+    return in_order(map(tuple, sampled(docs, labels, label_col, s, id_col, text_col).collect()))
 
 
 def train(rows: list, s: Settings) -> tuple[np.ndarray, float]:
@@ -198,4 +206,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settin
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    return train(examples(docs, labels, label_col, s, id_col, text_col), s)
+    """The model of train(), learned by one task from `sample` rows at most; the driver gets its buckets x 4 bytes alone."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        parts, bias = train(in_order(zip(*(table[c].to_pylist() for c in ("k", "b", "n", "y")))), s)
+        give_back()
+        return pa.table({"parts": pa.array([parts.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    rows = sampled(docs, labels, label_col, s, id_col, text_col)
+    made = rows.groupBy().applyInArrow(learn, "parts binary, bias double").collect()
+    return (np.frombuffer(made[0]["parts"], np.float32), made[0]["bias"]) if made else train([], s)

@@ -142,3 +142,16 @@ def test_classifier_on_edge_rows(spark):
     assert classifier.score(empty(docs), model).count() == 0
     untrained = classifier.fit(docs, empty(labels))
     assert {r["score"] for r in classifier.score(docs, untrained).collect()} == {0.5}
+
+
+def test_fit_hands_the_driver_a_model_alone(spark, monkeypatch):
+    """The rows' features stay on the executors; the model equals the one trained on the driver's list."""
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    s = classifier.Settings()
+    parts, bias = classifier.train(classifier.examples(docs, labels, "quality", s), s)
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    got = classifier.fit(docs, labels)
+    assert (got[0] == parts).all() and got[1] == bias
+    assert len(collected) == 1 and len(collected[0]) == 1 and len(collected[0][0]["parts"]) == 4 * s.buckets
