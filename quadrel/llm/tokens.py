@@ -19,9 +19,9 @@ CACHED_CHARS, CACHED_PIECES = 32, 250_000
 
 
 class PieceTokens(dict):
-    """Piece -> (packed 32-bit ids, packed 32-bit character spans, start and end by turns)."""
+    """Piece -> packed 32-bit ids."""
 
-    def __init__(self, path: str, spans: bool):
+    def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -31,7 +31,6 @@ class PieceTokens(dict):
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path} has added tokens that take in what is around them")
         self.added = {t.content: i for i, t in added.items()}
-        self.spans = spans
         self.model = self.tokenizer.model
         if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError(f"{path} is no byte-level tokenizer without a normalizer")
@@ -39,6 +38,16 @@ class PieceTokens(dict):
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
+    def sizes(self) -> np.ndarray:
+        """Bytes of the token of each id; the model shows a byte as one character."""
+        size = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        if missing := [b for b, c in self.shown.items() if self.model.token_to_id(chr(c)) is None]:
+            raise ValueError(f"{len(missing)} single bytes are no tokens")
+        size |= {i: len(t.encode()) for t, i in self.added.items()}
+        made = np.zeros(max(size) + 1, np.int64)
+        made[list(size)] = list(size.values())
+        return made
+
     def whole(self, texts: list[str]) -> set[str]:
         """The texts that the tokenizer's own splitting takes as one piece each."""
         text = "".join(texts)
@@ -47,34 +56,22 @@ class PieceTokens(dict):
     def __missing__(self, piece: str):
         """The model merges the piece's bytes; splitting is done, and nothing else is left to do."""
         if piece in self.added:
-            packed = np.array([self.added[piece]], np.uint32).tobytes()
-            return (packed, np.array([0, len(piece)], np.int32).tobytes()) if self.spans else packed
+            return np.array([self.added[piece]], np.uint32).tobytes()
         made = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
         packed = np.array([t.id for t in made], np.uint32).tobytes()
-        entry = packed
-        if self.spans:
-            entry = (packed, self._spans(piece, [len(t.value) for t in made]).tobytes())
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
                 self.clear()
-            self[piece] = entry
-        return entry
-
-    def _spans(self, piece: str, sizes: list[int]) -> np.ndarray:
-        """Characters [start, end) that hold the bytes of tokens of these many bytes."""
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        if not piece.isascii():
-            char = np.cumsum((np.frombuffer(piece.encode(), np.uint8) & 0xC0) != 0x80) - 1
-            starts, ends = char[starts], char[ends - 1] + 1
-        return np.stack([starts, ends], 1).astype(np.int32)
+            self[piece] = packed
+        return packed
 
 
 class PieceTokenizer:
     """Ids, and spans if asked for, of whole texts."""
 
     def __init__(self, path: str, pattern: str, spans: bool = False):
-        self.known = PieceTokens(path, spans)
+        self.known = PieceTokens(path)
+        self.sizes = self.known.sizes() if spans else None
         self.split = Splitter(pattern, self.known.whole)
         named = sorted(self.known.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, named)) + ")").split if named else None
@@ -92,14 +89,15 @@ class PieceTokenizer:
 
     def ids_and_spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the characters [start, end) that hold each token's bytes."""
-        pieces = self.pieces(text or "")
-        entries = list(map(self.known.__getitem__, pieces))
-        ids = np.frombuffer(b"".join([e[0] for e in entries]), np.uint32)
-        spans = np.frombuffer(b"".join([e[1] for e in entries]), np.int32).reshape(-1, 2)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        tokens = np.fromiter((len(e[0]) for e in entries), np.int64, len(pieces)) // 4
-        shift = np.repeat(np.cumsum(sizes) - sizes, tokens)
-        return ids, spans[:, 0] + shift, spans[:, 1] + shift
+        text = text or ""
+        ids = np.frombuffer(self.ids(text), np.uint32)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)  # in bytes: tokens lie side by side
+        starts = ends - sizes
+        if not text.isascii():
+            char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80, dtype=np.int32) - 1
+            starts, ends = char[starts], char[ends - 1] + 1
+        return ids, starts, ends
 
 
 @lru_cache(maxsize=4)
