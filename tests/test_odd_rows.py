@@ -77,6 +77,18 @@ def test_rows_meet_all_points_of_a_place(spark):
     assert rangejoin.blocks(points, ["x"]).count() == 8
 
 
+def test_rows_meet_points_place_by_place(spark):
+    """In each task all rows of a place come before those of the next; nulls, doubles and lone rows as a plain join has them."""
+    rows = spark.createDataFrame([(w, float(w % 3), 0.0) for w in range(90)] + [(7, 1.0, 0.0), (99, None, 0.0), (100, 9.0, 0.0)], "way long, x double, y double")
+    points = spark.createDataFrame([(k, float(k % 4), 0.0) for k in range(1200)] + [(5000, None, 0.0)], "id long, x double, y double")
+    made = rangejoin.at_places(rows, points, ["x", "y"])
+    got = made.withColumn("task", F.spark_partition_id()).collect()
+    runs = [(r.task, r.x) for r, after in zip(got, [*got[1:], None]) if after is None or (r.task, r.x) != (after.task, after.x)]
+    assert len(runs) == len(set(runs)) and len({x for _, x in runs}) == 3
+    plain = rows.join(points, ["x", "y"]).select(*rows.columns, "id")
+    assert made.columns == plain.columns and sorted(tuple(r)[:4] for r in got) == sorted(map(tuple, plain.collect()))
+
+
 def test_repair_of_many_ends_of_one_place(monkeypatch):
     """1000 dead ends at one place are bridged two by two, without a list of their pairs."""
     monkeypatch.setattr(local, "close_pairs", None)
